@@ -13,9 +13,16 @@ from locusweave.operators.interval_join import interval_join
 
 
 
-def _clipped(alignments: DataFrame, loci: DataFrame, keys: list[str], cols: list[str], **kw) -> DataFrame:
+def _clipped(
+    alignments: DataFrame, loci: DataFrame, keys: list[str], cols: list[str], members: DataFrame | None = None, **kw
+) -> DataFrame:
+    """Overlapping parts; ``members`` (keys, read_id) limits each locus to its own reads."""
     regions = loci.select(*keys, "chrom", F.col("start").alias("q_start"), F.col("end").alias("q_end"))
+    if members is not None:
+        cols = [*cols, "read_id"]
     hits = interval_join(alignments.select("chrom", "start", "end", *cols), regions, **kw)
+    if members is not None:
+        hits = hits.join(members, [*keys, "read_id"], "left_semi")
     return hits.withColumn("cs", F.greatest("start", "q_start")).withColumn("ce", F.least("end", "q_end"))
 
 
@@ -150,11 +157,3 @@ def below_threshold_runs(profile: DataFrame, frac: float, keys: tuple[str, ...]
     runs = flips.withColumn("stop", F.lead("bin").over(w)).where(F.col("low") & F.col("stop").isNotNull())
     return runs.select(*keys, F.expr("(bin + stop) div 2").alias("valley_bin"))
 
-
-def locus_seed_overlap(loci: DataFrame, seeds: DataFrame, locus_cols: list[str]) -> DataFrame:
-    """``loci`` with a boolean ``is_seed``: overlaps any seed, half-open."""
-    regions = seeds.select("chrom", F.col("start").alias("q_start"), F.col("end").alias("q_end"))
-    hit = interval_join(loci, regions, how="left_semi", mode="half_open").select(*locus_cols).distinct()
-    return loci.join(hit.withColumn("_s", F.lit(True)), locus_cols, "left").withColumn(
-        "is_seed", F.coalesce("_s", F.lit(False))
-    ).drop("_s")

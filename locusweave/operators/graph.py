@@ -86,21 +86,21 @@ def connected_components(
     return out
 
 
-def component_representatives(labels: DataFrame, loci: DataFrame, ties: str = "first") -> DataFrame:
+def component_representatives(labels: DataFrame, loci: DataFrame, ties: str = "last") -> DataFrame:
     """Per component: the locus with most reads, component size and total reads.
 
     ``ties`` decides between equal read counts by locus id: ``first`` or ``last``.
     ``loci`` has (locus_id, chrom, start, end, n_reads).
     """
-    order = F.struct("n_reads", *([-F.col("locus_id")] if ties == "first" else ["locus_id"]))
+    best = F.struct("locus_id", "chrom", "start", "end", "n_reads")
+    if ties == "last":
+        pick = F.max_by(best, F.struct("n_reads", "locus_id"))
+    else:
+        pick = F.min_by(best, F.struct(-F.col("n_reads"), "locus_id"))
     return (
         labels.join(loci, labels["node"] == loci["locus_id"])
         .groupBy("component")
-        .agg(
-            F.max_by(F.struct("locus_id", "chrom", "start", "end", "n_reads"), order).alias("best"),
-            F.count(F.lit(1)).alias("component_size"),
-            F.sum("n_reads").alias("total_reads"),
-        )
+        .agg(pick.alias("best"), F.count(F.lit(1)).alias("component_size"), F.sum("n_reads").alias("total_reads"))
         .select("component", "best.*", "component_size", "total_reads")
     )
 
