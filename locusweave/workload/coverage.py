@@ -96,13 +96,13 @@ def _coverage_bins_by_strand(spark, d):
 @query(
     "coverage_stats",
     f"""WITH {ALN}, {LOCI}, {FRAC}
-SELECT locus_id, round(avg(cov), 4) AS mean_cov, round(stddev_pop(cov), 4) AS std_cov, round(max(cov), 4) AS max_cov,
+SELECT locus_id, round(avg(cov) + 1e-9, 4) AS mean_cov, round(stddev_pop(cov) + 1e-9, 4) AS std_cov, round(max(cov) + 1e-9, 4) AS max_cov,
   count(*) AS n_bins FROM prof GROUP BY locus_id""",
 )
 def _coverage_stats(spark, d):
     loci, _ = whole_loci(spark, d)
     prof = coverage_fractional(tables.alignments(spark, d), _spans(loci), BIN, bin_width=BW)
-    r = lambda c: F.round(c, 4).alias(c)
+    r = lambda c: F.round(F.col(c) + 1e-9, 4).alias(c)
     return coverage_stats(prof).select("locus_id", r("mean_cov"), r("std_cov"), r("max_cov"), "n_bins")
 
 
@@ -120,7 +120,7 @@ t AS (SELECT locus_id, m, sd, nr, 5.0 * least(1.0, sqrt((m + 1) / 20.0))
     * least(1.0, sqrt(greatest(nr, 1) / 50.0) * sqrt(greatest(le - ls, 1000) / 2000.0))
     * (CASE WHEN nr <= 25 THEN 0.7 ELSE 1.0 END) AS raw
   FROM st JOIN loci USING (locus_id) JOIN sizes USING (locus_id))
-SELECT locus_id, round(m, 4) AS mean_cov, round(sd, 4) AS std_cov, round(greatest(raw, 0.8), 4) AS threshold,
+SELECT locus_id, round(m + 1e-9, 4) AS mean_cov, round(sd + 1e-9, 4) AS std_cov, round(greatest(raw, 0.8) + 1e-9, 4) AS threshold,
   sd < greatest(raw, 0.8) AND NOT (m >= 1e9 AND sd / greatest(m, 1.0) >= 0.085) AS rejected FROM t""",
 )
 def _coverage_std_gate(spark, d):
@@ -128,7 +128,7 @@ def _coverage_std_gate(spark, d):
     shared = members.groupBy("locus_id").agg(F.count(F.lit(1)).alias("shared"))
     gate = StdGate(base=5.0, mean_ref=20.0, min_floor=0.8, shared_ref=50.0, span_ref=2000.0)
     s = std_gate_scores(tables.alignments(spark, d), loci.join(shared, "locus_id"), gate, bin_width=BW)
-    r = lambda c: F.round(c, 4).alias(c)
+    r = lambda c: F.round(F.col(c) + 1e-9, 4).alias(c)
     return s.select("locus_id", r("mean_cov"), r("std_cov"), r("threshold"), "rejected")
 
 
@@ -299,15 +299,15 @@ q AS (SELECT locus_id, h, (coalesce(hi, pkbin) - coalesce(lo, pkbin)) * {BIN} AS
   CASE WHEN l + r > 0 THEN abs(l - r) / (l + r) ELSE 1 END AS sym,
   CASE WHEN k > 0 AND pkbin > k THEN least(1, greatest(0, (h - head / k) / pkbin / 5)) ELSE 0 END AS lsl,
   CASE WHEN k > 0 AND pkbin + k < n THEN least(1, greatest(0, (h - tail / k) / (n - pkbin) / 5)) ELSE 0 END AS rsl FROM s)
-SELECT locus_id, CAST(width AS BIGINT) AS peak_width, round(sym, 5) AS symmetry,
-  round(CASE WHEN h > 0 THEN least(1, h / 50) * 0.3 + (lsl + rsl) / 2 * 0.4 + (1 - sym) * 0.3 ELSE 0 END, 5) AS score FROM q""",
+SELECT locus_id, CAST(width AS BIGINT) AS peak_width, round(sym + 1e-9, 5) AS symmetry,
+  round(CASE WHEN h > 0 THEN least(1, h / 50) * 0.3 + (lsl + rsl) / 2 * 0.4 + (1 - sym) * 0.3 ELSE 0 END + 1e-9, 5) AS score FROM q""",
 )
 def _coverage_quality(spark, d):
     loci = _spans(whole_loci(spark, d)[0])
     prof = coverage_fractional(tables.alignments(spark, d), loci, BIN, bin_width=BW)
     return coverage_quality(prof, BIN).select(
         "locus_id", F.col("peak_width").cast("bigint").alias("peak_width"),
-        F.round("symmetry", 5).alias("symmetry"), F.round("score", 5).alias("score"),
+        F.round(F.col("symmetry") + 1e-9, 5).alias("symmetry"), F.round(F.col("score") + 1e-9, 5).alias("score"),
     )
 
 
