@@ -39,11 +39,23 @@ def upper_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def middle_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Middle element, or the integer half of the sum of both middle ones (truncated)."""
-    lo = at_index(df, keys, value, lambda n: F.floor((n - 1) / F.lit(2)))
-    hi = at_index(df, keys, value, lambda n: F.floor(n / F.lit(2)))
-    return lo.withColumnRenamed("value", "lo").join(hi.select(*keys, F.col("value").alias("hi")), keys).select(
-        *keys, F.expr("(lo + hi) div 2").alias("value"), "n"
+    r = _ranked(df, keys, value)
+    after = lambda i: F.min(F.when(F.col("upto") > i, F.col("value")))
+    both = r.groupBy(*keys).agg(
+        after(F.floor((F.col("n") - 1) / F.lit(2))).alias("lo"),
+        after(F.floor(F.col("n") / F.lit(2))).alias("hi"),
+        F.max("n").alias("n"),
     )
+    return both.select(*keys, F.expr("(lo + hi) div 2").alias("value"), "n")
+
+
+def two_sided(df: DataFrame, key: str, low: str, high: str, index) -> DataFrame:
+    """(key, low, high, n): an element of both columns from one pass; ``index(n)`` may use column ``side``."""
+    sides = F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("at")) for c in (low, high)])
+    tall = df.select(key, F.explode(sides).alias("x")).select(key, "x.side", "x.at")
+    picked = at_index(tall, [key, "side"], "at", index)
+    of = lambda c: F.max(F.when(F.col("side") == c, F.col("value"))).alias(c)
+    return picked.groupBy(key).agg(of(low), of(high), F.max("n").alias("n"))
 
 
 def interpolated(col: str, q: float) -> Column:

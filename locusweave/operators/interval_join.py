@@ -74,31 +74,31 @@ def interval_join(
     reg = regions
     if pad:
         reg = reg.withColumn(rs, F.col(rs) - pad).withColumn(re, F.col(re) + pad)
-    left = _with_point_key(items, *item_cols, bin_width).alias("i")
-    right = _with_cover_keys(reg, rs, re, bin_width).alias("r")
+    left = _with_point_key(items, *item_cols, bin_width).alias("_items")
+    right = _with_cover_keys(reg, rs, re, bin_width).alias("_regions")
     cond = _same_keys((*keys, _LVL, _BIN))
     pred = {"inclusive": overlaps_inclusive, "half_open": overlaps_half_open}[mode]
     cond = cond & pred(
-        F.col(f"i.{item_cols[0]}"), F.col(f"i.{item_cols[1]}"), F.col(f"r.{rs}"), F.col(f"r.{re}")
+        F.col(f"_items.{item_cols[0]}"), F.col(f"_items.{item_cols[1]}"), F.col(f"_regions.{rs}"), F.col(f"_regions.{re}")
     )
     joined = left.join(right, cond, how)
-    keep = [F.col(f"i.{c}") for c in items.columns]
+    keep = [F.col(f"_items.{c}") for c in items.columns]
     if how in ("inner", "left"):
         extra = [c for c in regions.columns if c not in keys]
         for c in extra:
             if pad and c == rs:
-                keep.append((F.col(f"r.{c}") + pad).alias(c))
+                keep.append((F.col(f"_regions.{c}") + pad).alias(c))
             elif pad and c == re:
-                keep.append((F.col(f"r.{c}") - pad).alias(c))
+                keep.append((F.col(f"_regions.{c}") - pad).alias(c))
             else:
-                keep.append(F.col(f"r.{c}"))
+                keep.append(F.col(f"_regions.{c}"))
     return joined.select(*keep)
 
 
 def _same_keys(cols) -> Column:
     cond = None
     for c in cols:
-        eq = F.col(f"i.{c}") == F.col(f"r.{c}")
+        eq = F.col(f"_items.{c}") == F.col(f"_regions.{c}")
         cond = eq if cond is None else cond & eq
     return cond
 

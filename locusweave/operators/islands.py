@@ -71,13 +71,17 @@ def islands(
 
 def with_island(
     df: DataFrame, found: DataFrame, keys: tuple[str, ...] = ("chrom",), start: str = "start",
-    cols: tuple[str, ...] = (), bin_width: int = POINT_BIN,
+    cols: tuple[str, ...] = (), bin_width: int = POINT_BIN, strict: bool = False,
 ) -> DataFrame:
     """``df`` with the ``island`` (its start) each row's start lies in, plus ``cols`` of the island.
 
-    Islands are disjoint, so a row meets exactly one; only islands are exploded over bins.
+    Islands are disjoint, so a row meets exactly one; only islands are exploded over bins.  ``strict``
+    islands may touch: there a row at an island's end belongs to the next one.
     """
     keys = list(keys)
+    inside = F.col(start) <= F.col("_iend")
+    if strict:
+        inside = (F.col(start) < F.col("_iend")) | (F.col(start) == F.col("island"))
     cover = found.select(
         *keys, F.col("start").alias("island"), F.col("end").alias("_iend"), *cols,
         F.explode(F.sequence(F.floor(F.col("start") / F.lit(bin_width)), F.floor(F.col("end") / F.lit(bin_width)))).alias("_pb"),
@@ -85,7 +89,7 @@ def with_island(
     return (
         df.withColumn("_pb", F.floor(F.col(start) / F.lit(bin_width)))
         .join(cover, [*keys, "_pb"])
-        .where((F.col(start) >= F.col("island")) & (F.col(start) <= F.col("_iend")))
+        .where((F.col(start) >= F.col("island")) & inside)
         .drop("_pb", "_iend")
     )
 

@@ -57,6 +57,17 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+_kept: list[DataFrame] = []
+
+
 def persist(df: DataFrame) -> DataFrame:
     """Keep a frame that several branches of one plan read; lost blocks are recomputed."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _kept.append(kept)
+    return kept
+
+
+def release() -> None:
+    """Drop the blocks of every frame kept so far, once their results have been written."""
+    while _kept:
+        _kept.pop().unpersist()
