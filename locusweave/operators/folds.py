@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from locusweave.operators.islands import islands, with_island
-from locusweave.session import persist
+from locusweave.session import materialize
 
 BATCH = 4096
 
@@ -52,7 +52,7 @@ def ordered_fold(
 
 def overlap_groups(df: DataFrame, keys: tuple[str, ...] = ("chrom",), gap: int = 0, strict: bool = True) -> DataFrame:
     """``df`` with ``grp``: the start of the island of overlapping intervals a row belongs to."""
-    df = persist(df)
+    df = materialize(df)
     found = islands(df, gap, keys=keys, strict=strict)
     return with_island(df, found, keys=keys, strict=strict).withColumnRenamed("island", "grp")
 
@@ -118,7 +118,7 @@ def drop_near_duplicates(loci: DataFrame, order: list, tolerance: int, both: boo
     ``tolerance`` bases.
     """
     cols = loci.columns
-    loci = persist(loci)
+    loci = materialize(loci)
     if both:
         points = loci.withColumn("_pe", F.col("start"))
         found = islands(points, tolerance - 1, end="_pe")
@@ -181,7 +181,7 @@ def adjacent_runs(loci: DataFrame, max_gap: int, min_jaccard: float) -> DataFram
 
     The running Jaccard of a run is its maximum.  ``merged_id`` is the first locus of the run.
     """
-    loci = persist(loci)
+    loci = materialize(loci)
     grouped = with_island(loci, islands(loci, max_gap)).withColumnRenamed("island", "grp")
     schema = grouped.select("chrom", "grp", "locus_id", F.col("locus_id").alias("merged_id")).schema
     runs = ordered_fold(

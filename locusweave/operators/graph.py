@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusweave.operators.readsets import both_directions
-from locusweave.session import checkpoint
+from locusweave.session import materialize
 
 
 def hop_distances(
@@ -17,8 +17,8 @@ def hop_distances(
     of the checkpointed frontiers, so a hop never re-reads the lineage of earlier ones.
     """
     keys = list(keys)
-    links = checkpoint(both_directions(edges.select(*keys, "src", "dst", "jaccard")))
-    frontier = checkpoint(
+    links = materialize(both_directions(edges.select(*keys, "src", "dst", "jaccard")))
+    frontier = materialize(
         sources.select(*keys, "node").distinct()
         .withColumn("distance", F.lit(0))
         .withColumn("bottleneck", F.lit(1.0))
@@ -35,7 +35,7 @@ def hop_distances(
             .join(visited.select(*keys, "node"), [*keys, "node"], "left_anti")
             .select(*keys, "node", F.lit(hop).alias("distance"), "bottleneck")
         )
-        frontier = checkpoint(reached)
+        frontier = materialize(reached)
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)
@@ -51,7 +51,7 @@ def connected_components(
     minimum per node, a combinable aggregate, so a hub costs no more than its edges.
     ``nodes`` adds isolated nodes.
     """
-    pairs = checkpoint(
+    pairs = materialize(
         edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).where("u != v").distinct()
     )
     state = None
@@ -67,7 +67,7 @@ def connected_components(
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(mins.select("u", F.col("m").alias("v")))
         )
-        pairs = checkpoint(small.distinct())
+        pairs = materialize(small.distinct())
         new_state = tuple(
             pairs.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         )

@@ -9,7 +9,7 @@ from locusweave.functions.quantiles import interpolated, two_sided
 from locusweave.operators.folds import ordered_fold
 from locusweave.operators.interval_join import interval_join
 from locusweave.operators.islands import islands, with_island
-from locusweave.session import persist
+from locusweave.session import materialize
 
 KEY = "locus_id"
 SUMMARY_BIN = 1000
@@ -89,7 +89,7 @@ def summary_similarity(a: str, b: str) -> Column:
 
 def locus_similarity(alignments: DataFrame, pairs: DataFrame, loci: DataFrame, **kw) -> DataFrame:
     """``pairs`` (seed_locus, target_locus) with ``isoseq_sim``; both sides are summarised once."""
-    s = persist(transcript_summary(alignments, loci, **kw))
+    s = materialize(transcript_summary(alignments, loci, **kw))
     packed = s.select(KEY, F.struct(*[c for c in s.columns if c != KEY]).alias("s"))
     a = packed.select(F.col(KEY).alias("seed_locus"), F.col("s").alias("sa"))
     b = packed.select(F.col(KEY).alias("target_locus"), F.col("s").alias("sb"))
@@ -437,8 +437,8 @@ def splice_subclouds(signatures: DataFrame, min_similarity: float = 0.3, min_siz
 
 def merge_subclouds(sub: DataFrame, cluster_reads: DataFrame, min_reads: int) -> DataFrame:
     """Merge overlapping sub-clouds of a chromosome; keep those with enough distinct reads."""
-    sub = persist(sub)
-    found = persist(islands(sub, 0, strict=True))
+    sub = materialize(sub)
+    found = materialize(islands(sub, 0, strict=True))
     reads = cluster_reads.join(sub.select(KEY, "cluster"), [KEY, "cluster"], "left_semi")
     n = with_island(reads.select("chrom", "start", "read_id"), found, strict=True).select("chrom", "island", "read_id").distinct()
     sizes = n.groupBy("chrom", F.col("island").alias("start")).agg(F.count(F.lit(1)).alias("n_reads"))

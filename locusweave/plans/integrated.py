@@ -14,7 +14,7 @@ from locusweave.operators.readsets import jaccard_to_reference, seed_reads
 from locusweave.operators.refine import exon_trim
 from locusweave.operators.segments import find_peaks, find_valleys, fixed_valley_params, split_by_valleys
 from locusweave.operators.transcripts import transcript_summary
-from locusweave.session import checkpoint, persist
+from locusweave.session import materialize
 
 KEY = "locus_id"
 
@@ -66,17 +66,17 @@ def accepted_valleys(alignments: DataFrame, own: DataFrame, loci: DataFrame, mem
     params = fixed_valley_params(loci, p.peak_frac, p.min_gap_bp, p.min_segment_bp)
     spans = loci.select(KEY, "chrom", "start", "end")
     chrom = spans.select(KEY, "chrom")
-    prof = checkpoint(coverage_fractional(own, spans, p.bin_size, members=members, **kw))
-    v = persist(find_valleys(prof, find_peaks(prof, params, p.bin_size), p.bin_size).join(chrom, KEY))
+    prof = materialize(coverage_fractional(own, spans, p.bin_size, members=members, **kw))
+    v = materialize(find_valleys(prof, find_peaks(prof, params, p.bin_size), p.bin_size).join(chrom, KEY))
     counts = v.groupBy(KEY).agg(F.count(F.lit(1)).alias("valleys"), F.count_if("is_significant").alias("significant"))
-    combined = persist(decide_splits(alignments, v, p, **kw))
+    combined = materialize(decide_splits(alignments, v, p, **kw))
     if not p.strand_split:
         return combined.where("split OR validated").select(KEY, "position", "split", "validated"), counts
     any_split = combined.groupBy(KEY).agg(F.max("split").alias("any_split"))
     run = spans.join(any_split, KEY, "left").where(
         (F.col("end") - F.col("start") >= p.strand_min_span) | (F.col("any_split") == F.lit(False))
     ).select(KEY, "chrom", "start", "end")
-    sprof = checkpoint(coverage_fractional(own, run, p.bin_size, members=members, by_strand=True, **kw))
+    sprof = materialize(coverage_fractional(own, run, p.bin_size, members=members, by_strand=True, **kw))
     # Each strand's profile is a locus of its own for the peak and valley search.
     skey = F.concat(KEY, F.lit("#"), "strand")
     both = run.withColumn("strand", F.explode(F.array(F.lit("+"), F.lit("-")))).withColumn("parent", F.col(KEY)).withColumn(KEY, skey)
@@ -104,24 +104,24 @@ def detect_integrated(
     if chroms is not None:
         mapped = mapped.where(F.col("chrom").isin(list(chroms)))
     mapped = mapped.withColumn("strand", F.when(is_reverse(), "-").otherwise("+"))
-    sr = persist(seed_reads(alignments, seeds, **kw))
-    own = persist(mapped.join(sr.select("read_id").distinct(), "read_id", "left_semi"))
-    tied = persist(own.select("read_id", "chrom", "start", "end").join(sr, "read_id"))
+    sr = materialize(seed_reads(alignments, seeds, **kw))
+    own = materialize(mapped.join(sr.select("read_id").distinct(), "read_id", "left_semi"))
+    tied = materialize(own.select("read_id", "chrom", "start", "end").join(sr, "read_id"))
     found = cluster_alignments(tied, p.cluster_distance, p.min_reads, ("seed_ord", "chrom"))
     lid = F.concat_ws("|", F.col("seed_ord").cast("string"), "chrom", F.col("start").cast("string"))
-    loci = checkpoint(found.select("seed_ord", "chrom", "start", "end").withColumn(KEY, lid))
+    loci = materialize(found.select("seed_ord", "chrom", "start", "end").withColumn(KEY, lid))
     inside = interval_join(
         tied, loci.select("seed_ord", "chrom", KEY, F.col("start").alias("q_start"), F.col("end").alias("q_end")),
         keys=("seed_ord", "chrom"), **kw,
     )
-    members = checkpoint(inside.select(KEY, "read_id").distinct())
+    members = materialize(inside.select(KEY, "read_id").distinct())
     decided, counts = accepted_valleys(mapped, own, loci, members, p, **kw)
-    decided = persist(decided)
+    decided = materialize(decided)
     cuts = decided.where("split").withColumn("is_significant", F.lit(True))
     params = fixed_valley_params(loci, p.peak_frac, p.min_gap_bp, p.min_segment_bp)
     segs = split_by_valleys(loci.select(KEY, "chrom", "start", "end"), cuts, params)
     segs = segs.withColumnRenamed(KEY, "parent").withColumn(KEY, F.concat_ws("/", "parent", F.col("piece").cast("string")))
-    segs = checkpoint(segs.join(loci.select(F.col(KEY).alias("parent"), "seed_ord"), "parent"))
+    segs = materialize(segs.join(loci.select(F.col(KEY).alias("parent"), "seed_ord"), "parent"))
 
     def reads_of(s):
         reg = s.select("seed_ord", "chrom", KEY, "parent", F.col("start").alias("q_start"), F.col("end").alias("q_end"))
@@ -132,7 +132,7 @@ def detect_integrated(
     reads = reads_of(segs)
     if p.exon_trim:
         moved = exon_trim(mapped, segs, reads.select(KEY, "read_id"), trim, **kw)
-        segs = checkpoint(segs.join(moved, KEY).withColumn("start", F.col("new_start")).withColumn("end", F.col("new_end")).drop("new_start", "new_end"))
+        segs = materialize(segs.join(moved, KEY).withColumn("start", F.col("new_start")).withColumn("end", F.col("new_end")).drop("new_start", "new_end"))
         reads = reads_of(segs)
     sim = jaccard_to_reference(reads, sr, ("seed_ord",)).select(KEY, "jaccard", "n_reads", "shared")
     per = decided.groupBy(F.col(KEY).alias("parent")).agg(
@@ -146,13 +146,13 @@ def detect_integrated(
         .na.fill(0.0, ["jaccard"])
     )
     whole = F.col("splits") == 0
-    cores = checkpoint(d.select(
+    cores = materialize(d.select(
         KEY, "chrom", "start", "end", "jaccard", "n_reads", "shared",
         F.when(whole | (F.col("splits") == F.col("significant")) | (F.col("n_val") == 0), "HIGH").otherwise("MEDIUM").alias("confidence"),
         "valleys", "splits", (~whole & (F.col("n_val") > 0)).alias("isoseq_validated"),
     ))
     # Longest first, then the first seed; one total order so that reruns agree.
-    cores = checkpoint(drop_covered(cores))
+    cores = materialize(drop_covered(cores))
     if gate is not None:
         cores = std_gate_filter(mapped, cores.withColumn("is_seed", F.lit(False)), gate, **kw).drop("is_seed")
     return cores

@@ -19,7 +19,7 @@ from locusweave.operators.trims import clip_tail_trim, envelope_trim
 from locusweave.plans.detect import detect_multi_seed, seed_pool
 from locusweave.plans.seeds import core_reads
 from locusweave.plans.split import CARRIED, preserve_seeds, split_loci, tight_resplit
-from locusweave.session import checkpoint, persist
+from locusweave.session import materialize
 
 COLS = ("locus_id", "chrom", "start", "end", *CARRIED)
 
@@ -39,9 +39,9 @@ def detect(
     kw = {"bin_width": params.bin_width}
     mapped = alignments.where(is_mapped())
     loci, members = detect_multi_seed(alignments, seeds, params)
-    pool = persist(seed_pool(alignments, seeds, params))
-    by_seed = persist(seed_reads(alignments, seeds, params.include_supplementary, **kw))
-    core = persist(core_reads(by_seed))
+    pool = materialize(seed_pool(alignments, seeds, params))
+    by_seed = materialize(seed_reads(alignments, seeds, params.include_supplementary, **kw))
+    core = materialize(core_reads(by_seed))
     many = params.min_seeds > 1 and seeds.limit(2).count() > 1
 
     loci = mark_seed_loci(loci.select(*COLS), seeds, **kw)
@@ -49,7 +49,7 @@ def detect(
         loci = min_seeds_filter(loci, members, by_seed, params.min_seeds)
     loci, members = split_loci(pool, loci, members, params.split, **kw)
     loci, members = preserve_seeds(mapped, loci, members, seeds, **kw)
-    loci, members = checkpoint(loci), checkpoint(members)
+    loci, members = materialize(loci), materialize(members)
 
     shared = members.join(pool.select("read_id").distinct(), "read_id", "left_semi").groupBy("locus_id").agg(
         F.count(F.lit(1)).alias("shared")
@@ -59,10 +59,10 @@ def detect(
     )
     loci = std_gate_filter(alignments, loci, params.std_gate, params.include_supplementary, **kw).drop("shared")
     if many:
-        members = checkpoint(region_reads(mapped, as_regions(loci, "locus_id"), id_cols=("locus_id",), **kw))
+        members = materialize(region_reads(mapped, as_regions(loci, "locus_id"), id_cols=("locus_id",), **kw))
         loci = min_seeds_filter(loci, members, by_seed, params.min_seeds)
     loci = core_filter(loci, members, core, params.min_core_reads)
-    loci = checkpoint(jaccard_filter(loci, params.min_jaccard_locus))
+    loci = materialize(jaccard_filter(loci, params.min_jaccard_locus))
 
     if params.min_coverage_quality > 0:
         loci = quality_filter(mapped, loci, params.min_coverage_quality, params.std_gate.bin_size, **kw)

@@ -1,8 +1,8 @@
-"""Session settings and lineage cutting."""
+"""Session settings and intermediate tables."""
 
 import tempfile
+import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 #: SQL settings every plan in this package is written for.  All are runtime settings, so they
@@ -38,36 +38,41 @@ def local_session(app: str = "locusweave", cores: str = "8", shuffle_partitions:
     return tune(spark)
 
 
-def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut lineage through the reliable checkpoint folder of the session.
+def work_folder(spark: SparkSession) -> str:
+    """The shared folder intermediate tables go to: ``spark.checkpoint.dir`` of the session.
 
-    The folder comes from ``spark.checkpoint.dir``; only a local master, where driver and tasks
-    share one disk, may fall back to a temporary folder.  The frame is persisted while the
-    checkpoint job runs so that its plan is not computed twice.
+    Only a local master, where driver and tasks share one disk, may fall back to a temporary folder.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="run-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        sc = spark.sparkContext
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="run-tables-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
 
+_written: list[tuple[SparkSession, str]] = []
 
-_kept: list[DataFrame] = []
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a frame once as a table in the work folder and go on from the table.
 
-def persist(df: DataFrame) -> DataFrame:
-    """Keep a frame that several branches of one plan read; lost blocks are recomputed."""
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    _kept.append(kept)
-    return kept
+    Several branches of a plan, or the next round of a loop, then share one computation; the lineage ends
+    at files every executor can read, so a lost executor costs only its running tasks; and the
+    table's size is known when the next joins are planned.
+    """
+    spark = df.sparkSession
+    path = f"{work_folder(spark)}/locusweave-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def release() -> None:
-    """Drop the blocks of every frame kept so far, once their results have been written."""
-    while _kept:
-        _kept.pop().unpersist()
+    """Delete the intermediate tables written so far, once final results are stored."""
+    while _written:
+        spark, path = _written.pop()
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from locusweave.operators.cluster import locus_id
 from locusweave.operators.islands import island_members, islands
 from locusweave.sources import tables
-from locusweave.session import persist
+from locusweave.session import materialize
 
 GAP, MIN_ROWS = 100, 5
 
@@ -22,7 +22,7 @@ def whole_loci(spark, d):
 
 def kept_loci(spark, d):
     found, members = whole_loci(spark, d)
-    return persist(found), persist(members)
+    return materialize(found), materialize(members)
 
 
 def big(col: str):

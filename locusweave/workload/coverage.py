@@ -26,7 +26,7 @@ from locusweave.operators.segments import (
 )
 from locusweave.plans.split import coverage_pieces, tight_resplit
 from locusweave.plans.transitive import detect
-from locusweave.session import persist
+from locusweave.session import materialize
 from locusweave.sources import tables
 from locusweave.workload import query
 from locusweave.workload.base import kept_loci, whole_loci
@@ -166,8 +166,8 @@ pk AS (SELECT locus_id, bin, bin_start, cov, nb, mx,
 
 
 def _profile(spark, d):
-    loci = persist(_spans(whole_loci(spark, d)[0]))
-    prof = persist(coverage_fractional(tables.alignments(spark, d), loci, BIN, bin_width=BW))
+    loci = materialize(_spans(whole_loci(spark, d)[0]))
+    prof = materialize(coverage_fractional(tables.alignments(spark, d), loci, BIN, bin_width=BW))
     return loci, prof, fixed_valley_params(loci, 0.5, 200, 100)
 
 

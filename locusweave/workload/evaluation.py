@@ -16,7 +16,7 @@ from locusweave.operators.evaluate import (
 )
 from locusweave.operators.interval_join import as_regions, interval_join
 from locusweave.operators.readsets import jaccard_to_reference, seed_reads
-from locusweave.session import persist
+from locusweave.session import materialize
 from locusweave.sources import tables
 from locusweave.workload import query
 from locusweave.workload.base import kept_loci
@@ -43,7 +43,7 @@ def _detections(spark, d):
         loci.select("locus_id", "chrom", "start", "end"), as_regions(genes, "family_id"), pad=500, bin_width=1024
     ).select("family_id", "locus_id", "chrom", "start", "end").distinct()
     det = near.join(sim, "locus_id").withColumn("distance", F.length("locus_id") % 3)
-    return genes, persist(det)
+    return genes, materialize(det)
 
 
 def _family_seeds(spark, d):

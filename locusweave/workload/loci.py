@@ -17,7 +17,7 @@ from locusweave.operators.readsets import jaccard_edges, jaccard_to_reference, s
 from locusweave.plans import detect as plan
 from locusweave.plans.fast import fast_detect
 from locusweave.plans.seeds import connectivity_edges, core_reads, select_connected_seeds
-from locusweave.session import persist
+from locusweave.session import materialize
 from locusweave.sources import tables
 from locusweave.workload import query
 from locusweave.workload.base import big, kept_loci, whole_loci
@@ -111,7 +111,7 @@ SELECT node, CAST(min(dist) AS BIGINT) AS distance FROM bfs GROUP BY node""",
 )
 def _hop_distance(spark, d):
     _, members = kept_loci(spark, d)
-    edges = persist(jaccard_edges(members, 0.05))
+    edges = materialize(jaccard_edges(members, 0.05))
     source = edges.agg(F.min("src").alias("node"))
     return hop_distances(edges, source).select("node", big("distance"))
 
@@ -156,7 +156,7 @@ FROM l JOIN hops USING (seed_ord, locus_id) JOIN sim USING (seed_ord, locus_id)
 )
 def _seed_loci(spark, d):
     seeds = tables.seeds(spark, d)
-    pool = persist(plan.seed_pool(tables.alignments(spark, d), seeds, SMALL))
+    pool = materialize(plan.seed_pool(tables.alignments(spark, d), seeds, SMALL))
     loci = plan.reachable_loci(plan.seed_graph(pool, seeds, SMALL))
     return loci.select(
         "seed_ord", "chrom", "start", "end", "n_reads", "shared", F.round("jaccard", 6).alias("jaccard"), big("distance")
@@ -175,7 +175,7 @@ def _detect_multi_seed(spark, d):
 def _component_seed_candidates(spark, d):
     params = Detect(min_reads=2, min_jaccard=0.2, bin_width=1024)
     seeds = tables.seeds(spark, d)
-    pool = persist(plan.seed_pool(tables.alignments(spark, d), seeds, params))
+    pool = materialize(plan.seed_pool(tables.alignments(spark, d), seeds, params))
     return plan.component_candidates(plan.seed_graph(pool, seeds, params)).select(
         "seed_ord", "chrom", "start", "end", "n_reads", "component_size", "total_reads"
     )
@@ -214,7 +214,7 @@ def _min_seeds_filter(spark, d):
 def _core_read_filter(spark, d):
     loci, members = kept_loci(spark, d)
     seeds = tables.seeds(spark, d)
-    sr = persist(seed_reads(tables.alignments(spark, d), seeds, bin_width=1024))
+    sr = materialize(seed_reads(tables.alignments(spark, d), seeds, bin_width=1024))
     return core_filter(mark_seed_loci(loci, seeds), members, core_reads(sr), 1).select("locus_id")
 
 

@@ -42,7 +42,7 @@ from locusweave.operators.transcripts import (
 )
 from locusweave.operators.trims import clip_outcomes, clip_tail_trim, envelope_trim
 from locusweave.plans.integrated import detect_integrated
-from locusweave.session import persist
+from locusweave.session import materialize
 from locusweave.sources import tables
 from locusweave.workload import query
 from locusweave.workload.base import kept_loci, whole_loci
@@ -300,7 +300,7 @@ def _signature_similarity(spark, d):
 @query("splice_subclouds")
 def _splice_subclouds(spark, d):
     loci, _ = whole_loci(spark, d)
-    sub, _ = splice_subclouds(persist(splice_signatures(_full(spark, d), loci, bin_width=BW)), 0.3, 2)
+    sub, _ = splice_subclouds(materialize(splice_signatures(_full(spark, d), loci, bin_width=BW)), 0.3, 2)
     return sub
 
 
@@ -314,8 +314,8 @@ def _transcript_start_clusters(spark, d):
 @query("split_by_transcripts")
 def _split_by_transcripts(spark, d):
     loci, _ = whole_loci(spark, d)
-    loci = persist(loci.select("locus_id", "chrom", "start", "end"))
-    t = persist(transcript_boundaries(_full(spark, d), loci, bin_width=BW))
+    loci = materialize(loci.select("locus_id", "chrom", "start", "end"))
+    t = materialize(transcript_boundaries(_full(spark, d), loci, bin_width=BW))
     return split_by_transcripts(t, loci, 100, 3, expected=2)
 
 
@@ -323,7 +323,7 @@ def _split_by_transcripts(spark, d):
 def _split_clouds(spark, d):
     loci, _ = whole_loci(spark, d)
     clouds = loci.where("end - start >= 1500").select("locus_id", "chrom", "start", "end")
-    return split_clouds(_full(spark, d), persist(clouds), expected=3, bin_width=BW)
+    return split_clouds(_full(spark, d), materialize(clouds), expected=3, bin_width=BW)
 
 
 @query("acceptor_support")
@@ -378,14 +378,14 @@ SELECT chrom, start, stop AS "end", n_reads, round(n_reads / ((stop - start) / 1
 FROM cl JOIN rd USING (chrom, cl)""",
 )
 def _read_clouds(spark, d):
-    a = persist(cloud_alignments(_full(spark, d)))
+    a = materialize(cloud_alignments(_full(spark, d)))
     clouds, _ = find_clouds(a, 8, 200, 5000)
     return clouds.withColumn("density", F.round("density", 6))
 
 
 @query("read_clouds_by_strand")
 def _read_clouds_by_strand(spark, d):
-    a = persist(cloud_alignments(_full(spark, d)))
+    a = materialize(cloud_alignments(_full(spark, d)))
     clouds, _ = find_clouds(a, 6, 200, 5000, strand_aware=True)
     return extend_by_clips(clouds, a, 100, 50).select("chrom", "start", "end", "n_reads")
 
@@ -407,7 +407,7 @@ SELECT locus_id, CAST(side AS BIGINT) AS side, pos, round(CASE WHEN coalesce(n,
 def _window_jaccards(spark, d):
     loci, _ = whole_loci(spark, d)
     a = tables.alignments(spark, d)
-    ref = persist(pooled_reads(a, as_regions(tables.seeds(spark, d)), bin_width=BW))
+    ref = materialize(pooled_reads(a, as_regions(tables.seeds(spark, d)), bin_width=BW))
     p = Refine(window=200, step=100, min_region=500)
     j = window_jaccards(a, loci, ref, p, bin_width=BW)
     return j.select("locus_id", F.col("side").cast("bigint").alias("side"), "pos", F.round("jaccard", 6).alias("jaccard"))
@@ -417,7 +417,7 @@ def _window_jaccards(spark, d):
 def _jaccard_trim(spark, d):
     loci, _ = kept_loci(spark, d)
     a = tables.alignments(spark, d)
-    ref = persist(pooled_reads(a, as_regions(tables.seeds(spark, d)), bin_width=BW))
+    ref = materialize(pooled_reads(a, as_regions(tables.seeds(spark, d)), bin_width=BW))
     return jaccard_trim(a, loci, ref, Refine(window=200, step=100, min_region=300), bin_width=BW)
 
 
@@ -425,7 +425,7 @@ def _jaccard_trim(spark, d):
 def _refine_loci(spark, d):
     loci, _ = kept_loci(spark, d)
     a = _full(spark, d)
-    ref = persist(pooled_reads(a, as_regions(tables.seeds(spark, d)), bin_width=BW))
+    ref = materialize(pooled_reads(a, as_regions(tables.seeds(spark, d)), bin_width=BW))
     r = refine_loci(a, loci, ref, Refine(window=200, step=100, min_region=300), bin_width=BW)
     return r.select("locus_id", "start", "end", "method", "n_transcripts", F.round("jaccard", 6).alias("jaccard"))
 
