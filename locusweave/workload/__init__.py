@@ -25,6 +25,7 @@ def load() -> None:
         coverage,
         evaluation,
         loci,
+        modes,
         reads,
         transcripts,
     )
