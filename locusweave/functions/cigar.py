@@ -25,6 +25,11 @@ def _empty(kind: str) -> Column:
     return F.from_json(F.lit("[]"), f"array<{kind}>") if kind.startswith("struct") else F.array().cast(f"array<{kind}>")
 
 
+def _let(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` computed once; higher-order functions are not shared otherwise."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def reference_length(cigar) -> Column:
     """Reference bases spanned, introns included."""
     return F.aggregate(
@@ -144,11 +149,11 @@ def exon_blocks(start, cigar) -> Column:
 
 def exon_shell(start, cigar) -> Column:
     """STRUCT<start, end> from the first exon's start to the last exon's end; null without exons."""
-    blocks = exon_blocks(start, cigar)
-    return F.when(
-        F.size(blocks) > 0,
-        F.struct(
-            F.element_at(blocks, 1)["start"].alias("start"), F.element_at(blocks, -1)["end"].alias("end")
+    return _let(
+        exon_blocks(start, cigar),
+        lambda b: F.when(
+            F.size(b) > 0,
+            F.struct(F.element_at(b, 1)["start"].alias("start"), F.element_at(b, -1)["end"].alias("end")),
         ),
     )
 
@@ -165,6 +170,8 @@ def three_prime_clip(cigar, reverse) -> Column:
     of the read unless the only clip is a leading one.
     """
     ops = _c(cigar)
+    none = F.lit(None).cast("struct<start:bigint,end:bigint>")
+    first, last = F.try_element_at(ops, F.lit(1)), F.try_element_at(ops, F.lit(-1))
     state = F.struct(
         _long(0).alias("q"), _long(0).alias("n"), _long(-1).alias("s"), _long(-1).alias("e")
     )
@@ -179,17 +186,16 @@ def three_prime_clip(cigar, reverse) -> Column:
             F.when(clip, acc["q"] + x["len"]).otherwise(acc["e"]).alias("e"),
         )
 
-    found = F.aggregate(ops, state, step)
-    none = F.lit(None).cast("struct<start:bigint,end:bigint>")
-    first, last = F.try_element_at(ops, F.lit(1)), F.try_element_at(ops, F.lit(-1))
+    def interval(found):
+        inner = (found["n"] > 0) & ~((found["n"] == 1) & (found["s"] == 0))
+        return F.when(
+            (last["op"] == "S") | inner, F.struct(found["s"].alias("start"), found["e"].alias("end"))
+        ).otherwise(none)
+
     lead = F.when(
         first["op"] == "S", F.struct(_long(0).alias("start"), first["len"].cast("bigint").alias("end"))
     ).otherwise(none)
-    forward = F.when(
-        (last["op"] == "S") | ((found["n"] > 0) & ~((found["n"] == 1) & (found["s"] == 0))),
-        F.struct(found["s"].alias("start"), found["e"].alias("end")),
-    ).otherwise(none)
-    return F.when(_c(reverse), lead).otherwise(forward)
+    return F.when(_c(reverse), lead).otherwise(_let(F.aggregate(ops, state, step), interval))
 
 
 def soft_clip_lengths(cigar, reverse) -> Column:
@@ -198,11 +204,10 @@ def soft_clip_lengths(cigar, reverse) -> Column:
     first, last = F.try_element_at(ops, F.lit(1)), F.try_element_at(ops, F.lit(-1))
     lead = F.coalesce(F.when(first["op"] == "S", first["len"].cast("bigint")), _long(0))
     tail = F.coalesce(F.when(last["op"] == "S", last["len"].cast("bigint")), _long(0))
-    clip = three_prime_clip(ops, reverse)
-    return F.struct(
-        F.when(_c(reverse), tail).otherwise(lead).alias("five"),
-        F.coalesce(clip["end"] - clip["start"], _long(0)).alias("three"),
-    )
+    # Only a forward read without a trailing clip needs the walk over all operations.
+    inner = _let(three_prime_clip(ops, F.lit(False)), lambda c: F.coalesce(c["end"] - c["start"], _long(0)))
+    three = F.when(_c(reverse), lead).when(last["op"] == "S", tail).otherwise(inner)
+    return F.struct(F.when(_c(reverse), tail).otherwise(lead).alias("five"), three.alias("three"))
 
 
 def a_fraction(bases) -> Column:
@@ -223,5 +228,5 @@ def signature_similarity(a, b, tolerance: int = 10) -> Column:
             ),
         )
     )
-    union = F.size(_c(a)) + F.size(_c(b)) - matched
-    return F.when((F.size(_c(a)) > 0) & (F.size(_c(b)) > 0) & (union > 0), matched / union).otherwise(F.lit(0.0))
+    na, nb = F.size(_c(a)), F.size(_c(b))
+    return F.when((na > 0) & (nb > 0), _let(matched, lambda m: m / (na + nb - m))).otherwise(F.lit(0.0))

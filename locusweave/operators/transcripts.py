@@ -114,12 +114,15 @@ def transcript_geometry(alignments: DataFrame, loci: DataFrame, **kw) -> DataFra
 
 def strand_exon_bounds(geometry: DataFrame, loci: DataFrame) -> DataFrame:
     """(locus_id, tx_start, tx_end): p25/p75 of the dominant strand's ends inside its exon shell; no row if empty."""
-    n = geometry.groupBy(KEY).agg(F.count_if(F.col("strand") == "+").alias("p"), F.count(F.lit(1)).alias("n"))
-    dom = n.select(KEY, F.when(F.col("p") >= F.col("n") - F.col("p"), "+").otherwise("-").alias("strand"))
-    box = geometry.join(dom, [KEY, "strand"], "left_semi").groupBy(KEY).agg(
+    # Both strands are summarised in one pass; the larger one, + of equals, is picked afterwards.
+    per = geometry.groupBy(KEY, "strand").agg(
+        F.count(F.lit(1)).alias("n"),
         interpolated("lo", 0.25).alias("a"), interpolated("hi", 0.75).alias("b"),
         interpolated("exon_lo", 0.25).alias("c"), interpolated("exon_hi", 0.75).alias("d"),
     )
+    box = per.groupBy(KEY).agg(
+        F.max_by(F.struct("a", "b", "c", "d"), F.struct("n", F.col("strand") == "+")).alias("x")
+    ).select(KEY, "x.*")
     d = box.join(loci.select(KEY, "start", "end"), KEY)
     clamp = lambda x: F.least(F.greatest(x, F.col("start")), F.col("end"))
     return d.select(
