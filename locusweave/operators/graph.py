@@ -110,14 +110,23 @@ def adaptive_edge_threshold(
 ) -> DataFrame:
     """One row ``threshold``: nearest-rank quantile of positive Jaccards, never below ``floor``.
 
-    Needs at least 3 qualifying pairs.  Values are counted before they are ranked, so the window
-    runs over distinct Jaccard values only.
+    Needs at least 3 qualifying pairs.  Pairs are counted in a million fixed buckets first; only the values
+    of the bucket the rank falls into are then ranked, so neither window grows with the pairs.
     """
     q = min(max(quantile, 0.0), 1.0)
-    ok = pairs.where((F.col("shared") >= min_shared) & (F.col("jaccard") > 0))
-    values = ok.groupBy("jaccard").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.orderBy("jaccard")
-    ranked = values.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy()))
+    slot = F.floor(F.col("jaccard") * 1_000_000)
+    ok = pairs.where((F.col("shared") >= min_shared) & (F.col("jaccard") > 0)).withColumn("slot", slot)
+    counts = ok.groupBy("slot").agg(F.count(F.lit(1)).alias("c"))
+    n = F.sum("c").over(Window.partitionBy())
+    upto = F.sum("c").over(Window.orderBy("slot"))
     at = F.floor((F.col("n") - 1) * F.lit(q) + F.lit(0.5)) + 1
-    picked = ranked.where((F.col("upto") >= at) & (F.col("n") >= 3)).agg(F.min("jaccard").alias("j"))
+    hit = (
+        counts.withColumns({"n": n, "upto": upto})
+        .withColumn("rank", at - (F.col("upto") - F.col("c")))
+        .where((F.col("n") >= 3) & (F.col("rank") > 0) & (F.col("rank") <= F.col("c")))
+        .select("slot", "rank")
+    )
+    values = ok.join(F.broadcast(hit), "slot").groupBy("jaccard", "rank").agg(F.count(F.lit(1)).alias("c"))
+    seen = F.sum("c").over(Window.partitionBy("rank").orderBy("jaccard"))
+    picked = values.withColumn("seen", seen).where(F.col("seen") >= F.col("rank")).agg(F.min("jaccard").alias("j"))
     return picked.select(F.greatest(F.lit(floor), F.coalesce("j", F.lit(floor))).alias("threshold"))

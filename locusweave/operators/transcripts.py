@@ -454,15 +454,16 @@ def merge_subclouds(sub: DataFrame, cluster_reads: DataFrame, min_reads: int) ->
 
 
 def boundary_distribution(transcripts: DataFrame, loci: DataFrame) -> DataFrame:
-    """Per locus: transcripts, distinct starts and ends, and transcripts per 10 kb."""
-    tss = F.when(F.col("strand") == "+", F.col("start")).otherwise(F.col("end"))
-    tes = F.when(F.col("strand") == "+", F.col("end")).otherwise(F.col("start"))
+    """Per locus: transcripts, by strand, distinct start and end sites, and starts per 10 kb."""
+    plus = F.col("strand") == "+"
+    tss = F.when(plus, F.col("start")).otherwise(F.col("end"))
+    tes = F.when(plus, F.col("end")).otherwise(F.col("start"))
     t = transcripts.groupBy(KEY).agg(
-        F.count(F.lit(1)).alias("n_transcripts"), F.count_distinct(tss).alias("n_tss"), F.count_distinct(tes).alias("n_tes")
+        F.count(F.lit(1)).alias("n_transcripts"), F.count_if(plus).alias("plus"), F.count_if(~plus).alias("minus"),
+        F.count_distinct(tss).alias("n_tss"), F.count_distinct(tes).alias("n_tes"),
     )
-    d = loci.select(KEY, "start", "end").join(t, KEY, "left").na.fill(0, ["n_transcripts", "n_tss", "n_tes"])
-    span = F.col("end") - F.col("start")
+    d = loci.select(KEY, "start", "end").join(t, KEY, "left").na.fill(0)
+    span = F.greatest(F.col("end") - F.col("start"), F.lit(1))
     return d.select(
-        KEY, "n_transcripts", "n_tss", "n_tes",
-        F.when(span > 0, F.col("n_transcripts") / (span / 10_000.0)).otherwise(0.0).alias("per_10kb"),
+        KEY, "n_transcripts", "plus", "minus", "n_tss", "n_tes", (F.col("n_transcripts") / span * 10_000.0).alias("per_10kb")
     )

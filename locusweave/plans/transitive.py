@@ -38,8 +38,8 @@ def detect(
     """
     kw = {"bin_width": params.bin_width}
     mapped = alignments.where(is_mapped())
-    loci, members = detect_multi_seed(alignments, seeds, params)
     pool = materialize(seed_pool(alignments, seeds, params))
+    loci, members = detect_multi_seed(alignments, seeds, params, pool)
     by_seed = materialize(seed_reads(alignments, seeds, params.include_supplementary, **kw))
     core = materialize(core_reads(by_seed))
     many = params.min_seeds > 1 and seeds.limit(2).count() > 1

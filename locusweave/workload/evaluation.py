@@ -47,7 +47,9 @@ def _detections(spark, d):
 
 
 def _family_seeds(spark, d):
-    return tables.seeds(spark, d).join(tables.genes(spark, d).select("family_id").distinct())
+    """Seeds of a family: those touching one of its genes."""
+    near = interval_join(tables.seeds(spark, d), as_regions(tables.genes(spark, d), "family_id"))
+    return near.select("family_id", "seed_ord", "chrom", "start", "end").distinct()
 
 
 BEST = f"""{DET},

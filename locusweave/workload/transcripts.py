@@ -344,9 +344,9 @@ def _anchored_starts(spark, d):
     "boundary_distribution",
     f"""WITH {FULL_LOCI},
 g AS (SELECT locus_id, rev, s, e FROM loci JOIN f USING (chrom) WHERE s <= le AND e >= ls AND kind = 0),
-t AS (SELECT locus_id, count(*) AS k, count(DISTINCT CASE WHEN rev THEN e ELSE s END) AS a,
+t AS (SELECT locus_id, count(*) AS k, count(*) FILTER (NOT rev) AS pl, count(*) FILTER (rev) AS mi, count(DISTINCT CASE WHEN rev THEN e ELSE s END) AS a,
   count(DISTINCT CASE WHEN rev THEN s ELSE e END) AS b FROM g GROUP BY 1)
-SELECT locus_id, coalesce(k, 0) AS n_transcripts, coalesce(a, 0) AS n_tss, coalesce(b, 0) AS n_tes,
+SELECT locus_id, coalesce(k, 0) AS n_transcripts, coalesce(pl, 0) AS plus, coalesce(mi, 0) AS minus, coalesce(a, 0) AS n_tss, coalesce(b, 0) AS n_tes,
   round(coalesce(k, 0) / ((le - ls) / 10000.0), 6) AS per_10kb FROM loci LEFT JOIN t USING (locus_id)""",
 )
 def _boundary_distribution(spark, d):
