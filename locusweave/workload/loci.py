@@ -21,7 +21,7 @@ from locusweave.session import materialize
 from locusweave.sources import tables
 from locusweave.workload import query
 from locusweave.workload.base import big, kept_loci, whole_loci
-from locusweave.workload.sql import ALN, EDGES, GENES, LOCI, SEEDS, clusters
+from locusweave.workload.sql import ALN, EDGES, LOCI, SEEDS, clusters
 
 SMALL = Detect(min_reads=2, bin_width=1024)
 
@@ -171,7 +171,22 @@ def _detect_multi_seed(spark, d):
     )
 
 
-@query("component_seed_candidates")
+@query(
+    "component_seed_candidates",
+    f"""WITH RECURSIVE {SEED_GRAPH.replace(">= 0.001", ">= 0.2")},
+lab AS (SELECT seed_ord, locus_id AS node, locus_id AS label FROM l
+  UNION SELECT lab.seed_ord, v, label FROM lab JOIN ed ON ed.seed_ord = lab.seed_ord AND u = node WHERE label < v),
+comp AS (SELECT seed_ord, node, min(label) AS component FROM lab GROUP BY ALL),
+mine AS (SELECT comp.seed_ord, component FROM comp JOIN start ON start.seed_ord = comp.seed_ord AND start.node = comp.node),
+z AS (SELECT comp.seed_ord, component, chrom, ls, le, coalesce(nr, 0) AS nr, count(*) OVER w AS size,
+    CAST(sum(coalesce(nr, 0)) OVER w AS BIGINT) AS total,
+    row_number() OVER (PARTITION BY comp.seed_ord, component ORDER BY coalesce(nr, 0) DESC, ls) AS rn
+  FROM comp JOIN l ON l.seed_ord = comp.seed_ord AND l.locus_id = node
+  LEFT JOIN sz ON sz.seed_ord = comp.seed_ord AND sz.locus_id = node
+  WHERE NOT EXISTS (SELECT 1 FROM mine WHERE mine.seed_ord = comp.seed_ord AND mine.component = comp.component)
+  WINDOW w AS (PARTITION BY comp.seed_ord, component))
+SELECT seed_ord, chrom, ls AS start, le AS "end", nr AS n_reads, size AS component_size, total AS total_reads FROM z WHERE rn = 1""",
+)
 def _component_seed_candidates(spark, d):
     params = Detect(min_reads=2, min_jaccard=0.2, bin_width=1024)
     seeds = tables.seeds(spark, d)
@@ -231,9 +246,7 @@ def _jaccard_to_pool(spark, d):
     return jaccard_to_reference(members, sr).select("locus_id", "shared", F.round("jaccard", 6).alias("jaccard"))
 
 
-@query(
-    "seed_hypergeom",
-    f"""WITH {ALN}, {SEEDS}, {GENES},
+HYPER = f"""{ALN}, {SEEDS},
 sr AS (SELECT DISTINCT seed_ord, read_id FROM a JOIN seeds USING (chrom) WHERE s <= se AND e >= ss),
 n AS (SELECT seed_ord, count(*) AS k FROM sr GROUP BY 1),
 u AS (SELECT count(DISTINCT read_id) AS big_n FROM sr),
@@ -244,10 +257,12 @@ t AS (SELECT src, dst, shared, na.k AS a1, nb.k AS b1, big_n,
   FROM p JOIN n na ON na.seed_ord = src JOIN n nb ON nb.seed_ord = dst, u),
 lt AS (SELECT *, (lgamma(b1 + 1) - lgamma(i + 1) - lgamma(b1 - i + 1))
   + (lgamma(big_n - b1 + 1) - lgamma(a1 - i + 1) - lgamma(big_n - b1 - a1 + i + 1))
-  - (lgamma(big_n + 1) - lgamma(a1 + 1) - lgamma(big_n - a1 + 1)) AS lp FROM t WHERE big_n - b1 >= a1 - i)
-SELECT src, dst, shared, round(least(1.0, sum(CASE WHEN lp > -745 THEN exp(lp) ELSE 0 END)), 6) AS p_value
-FROM lt GROUP BY src, dst, shared""",
-)
+  - (lgamma(big_n + 1) - lgamma(a1 + 1) - lgamma(big_n - a1 + 1)) AS lp FROM t WHERE big_n - b1 >= a1 - i),
+pv AS (SELECT src, dst, shared, CAST(shared AS DOUBLE) / (max(a1) + max(b1) - shared) AS j,
+  least(1.0, sum(CASE WHEN lp > -745 THEN exp(lp) ELSE 0 END)) AS p FROM lt GROUP BY src, dst, shared)"""
+
+
+@query("seed_hypergeom", f"WITH {HYPER} SELECT src, dst, shared, round(p, 6) AS p_value FROM pv")
 def _seed_hypergeom(spark, d):
     sr = seed_reads(tables.alignments(spark, d), tables.seeds(spark, d), include_supplementary=True, bin_width=1024)
     pairs = connectivity_edges(sr)
@@ -269,7 +284,20 @@ def _adaptive_edge_threshold(spark, d):
     return t.select(F.round("threshold", 6).alias("threshold"))
 
 
-@query("connectivity_seeds")
+@query(
+    "connectivity_seeds",
+    f"""WITH RECURSIVE {HYPER},
+rk AS (SELECT j, row_number() OVER (ORDER BY j) AS rn, count(*) OVER () AS c FROM pv WHERE shared >= 1 AND j > 0),
+cut AS (SELECT greatest(0.001, coalesce(max(j), 0.001)) AS th FROM rk WHERE c >= 3 AND rn = CAST(floor((c - 1) * 0.15 + 0.5) AS BIGINT) + 1),
+ok AS (SELECT src, dst FROM pv, cut WHERE shared >= 1 AND j >= th AND p <= 0.5),
+bidir AS (SELECT src AS x, dst AS y FROM ok UNION ALL SELECT dst, src FROM ok),
+lab AS (SELECT seed_ord AS node, seed_ord AS label FROM seeds
+  UNION SELECT y, label FROM lab JOIN bidir ON x = node WHERE label < y),
+comp AS (SELECT node, min(label) AS component FROM lab GROUP BY 1),
+z AS (SELECT component, node, coalesce(k, 0) AS k, count(*) OVER (PARTITION BY component) AS size,
+  row_number() OVER (PARTITION BY component ORDER BY coalesce(k, 0) DESC, node DESC) AS rn FROM comp LEFT JOIN n ON n.seed_ord = node)
+SELECT node AS seed_ord, component, size AS component_size, k AS n_reads FROM z WHERE rn = 1""",
+)
 def _connectivity_seeds(spark, d):
     a, seeds = tables.alignments(spark, d), tables.seeds(spark, d)
     chosen = select_connected_seeds(a, seeds, min_jaccard=0.001, quantile=0.15, min_shared=1, p_max=0.5, bin_width=1024)

@@ -390,20 +390,21 @@ def _read_clouds_by_strand(spark, d):
     return extend_by_clips(clouds, a, 100, 50).select("chrom", "start", "end", "n_reads")
 
 
-@query(
-    "window_jaccards",
-    f"""WITH {FULL_LOCI}, {SEEDS}, pool AS (SELECT DISTINCT read_id FROM a JOIN seeds USING (chrom) WHERE s <= se AND e >= ss),
-big AS (SELECT * FROM loci WHERE le - ls >= 1000),
+def _window_sql(least_span: int) -> str:
+    return f"""{FULL_LOCI}, {SEEDS}, pool AS (SELECT DISTINCT read_id FROM a JOIN seeds USING (chrom) WHERE s <= se AND e >= ss),
+big AS (SELECT * FROM loci WHERE le - ls >= {least_span}),
 wn AS (SELECT locus_id, chrom, 5 AS side, pos, pos AS ws, least(pos + 200, le) AS we
     FROM (SELECT *, unnest(generate_series(ls, le - 1, 100)) AS pos FROM big)
   UNION ALL SELECT locus_id, chrom, 3, pos, greatest(pos - 200, ls), pos
     FROM (SELECT *, unnest(generate_series(le - 1, ls, -100)) AS pos FROM big)),
 ok AS (SELECT * FROM wn WHERE we - ws >= 100),
 g AS (SELECT DISTINCT locus_id, side, pos, read_id FROM ok JOIN f USING (chrom) WHERE s <= we AND e >= ws),
-k AS (SELECT locus_id, side, pos, count(*) AS n, count(pool.read_id) AS x FROM g LEFT JOIN pool USING (read_id) GROUP BY 1, 2, 3)
-SELECT locus_id, CAST(side AS BIGINT) AS side, pos, round(CASE WHEN coalesce(n, 0) = 0 THEN 0
-  ELSE CAST(x AS DOUBLE) / (n + (SELECT count(*) FROM pool) - x) END, 6) AS jaccard FROM ok LEFT JOIN k USING (locus_id, side, pos)""",
-)
+k AS (SELECT locus_id, side, pos, count(*) AS n, count(pool.read_id) AS x FROM g LEFT JOIN pool USING (read_id) GROUP BY 1, 2, 3),
+wj AS (SELECT locus_id, CAST(side AS BIGINT) AS side, pos, CASE WHEN coalesce(n, 0) = 0 THEN 0
+  ELSE CAST(x AS DOUBLE) / (n + (SELECT count(*) FROM pool) - x) END AS j FROM ok LEFT JOIN k USING (locus_id, side, pos))"""
+
+
+@query("window_jaccards", f"WITH {_window_sql(1000)} SELECT locus_id, side, pos, round(j, 6) AS jaccard FROM wj")
 def _window_jaccards(spark, d):
     loci, _ = whole_loci(spark, d)
     a = tables.alignments(spark, d)
@@ -413,7 +414,17 @@ def _window_jaccards(spark, d):
     return j.select("locus_id", F.col("side").cast("bigint").alias("side"), "pos", F.round("jaccard", 6).alias("jaccard"))
 
 
-@query("jaccard_trim")
+@query(
+    "jaccard_trim",
+    f"""WITH {_window_sql(600)},
+pv AS (SELECT *, lag(j) OVER (PARTITION BY locus_id, side ORDER BY CASE WHEN side = 5 THEN pos ELSE -pos END) AS prev FROM wj),
+dr AS (SELECT * FROM pv WHERE j < 0.01 AND (CASE WHEN prev IS NULL THEN 1.0 ELSE greatest(prev, 0.01) END) > j * 1.5),
+at5 AS (SELECT locus_id, min(pos) FILTER (side = 5) AS s5, max(pos) FILTER (side = 3) AS s3 FROM dr GROUP BY 1),
+b AS (SELECT locus_id, ls, le, least(coalesce(s5, ls), ls + CAST(floor((le - ls) * 0.95) AS BIGINT)) AS ns,
+  greatest(coalesce(s3, le), le - CAST(floor((le - ls) * 0.95) AS BIGINT)) AS ne FROM loci LEFT JOIN at5 USING (locus_id))
+SELECT locus_id, CASE WHEN le - ls < 600 THEN ls WHEN ne - ns < 300 THEN (ls + le) // 2 - 150 ELSE ns END AS jac_start,
+  CASE WHEN le - ls < 600 THEN le WHEN ne - ns < 300 THEN (ls + le) // 2 + 150 ELSE ne END AS jac_end FROM b""",
+)
 def _jaccard_trim(spark, d):
     loci, _ = kept_loci(spark, d)
     a = tables.alignments(spark, d)
