@@ -1,11 +1,30 @@
 """One registered query per operator, each over its whole table."""
 
-from pyspark.sql import functions as F
-
-from locusweave.llm import simhash
+from locusweave.llm import qda, quality_rules, secrets, simhash, url_filters
 from locusweave.llm.registry import query, table
 
 
 @query("op1_simhash_dedup")
 def op1(spark, d):
     return simhash.near_duplicates(table(spark, d, "documents"), shingle=4, radius=2)
+
+
+@query("op2_url_filters", url_filters.SQL)
+def op2(spark, d):
+    pages = table(spark, d, "pages").select("page_id", "url")
+    return url_filters.url_verdicts(url_filters.captures_of(pages), url_filters.edits_of(pages))
+
+
+@query("op3_quality_rules")
+def op3(spark, d):
+    return quality_rules.quality_rules(table(spark, d, "documents"))
+
+
+@query("op8_quality_classifier")
+def op8(spark, d):
+    return qda.quality_scores(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query("op9_secret_scans")
+def op9(spark, d):
+    return secrets.secret_spans(table(spark, d, "documents")).drop("live_spans", "digest")
