@@ -1,6 +1,8 @@
 """One registered query per operator, each over its whole table."""
 
-from locusweave.llm import qda, quality_rules, secrets, simhash, url_filters
+import public_tokenizers
+
+from locusweave.llm import bpe, qda, quality_rules, secrets, simhash, toxicity, url_filters
 from locusweave.llm.registry import query, table
 
 
@@ -28,3 +30,14 @@ def op8(spark, d):
 @query("op9_secret_scans")
 def op9(spark, d):
     return secrets.secret_spans(table(spark, d, "documents")).drop("live_spans", "digest")
+
+
+@query("op4_toxicity")
+def op4(spark, d):
+    return toxicity.toxicity_scores(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query("op6_byte_level_bpe")
+def op6(spark, d):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.round_trip(table(spark, d, "documents"), path, public_tokenizers.PATTERN)

@@ -142,7 +142,7 @@ SQL = r"""
 WITH u AS (
   SELECT page_id, url, 1704067200 + ('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 8))::BIGINT % (365 * 86400) AS "at",
     regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '\\.$', '') AS host,
-    list_filter(string_split(regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1), '/'), p -> p <> '') AS parts
+    list_filter(string_split(regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1), '/'), lambda p: p <> '') AS parts
   FROM pages),
 hosts AS (SELECT DISTINCT host AS entry FROM u WHERE host <> ''),
 paths AS (SELECT DISTINCT host || '/' || parts[1] AS entry FROM u WHERE len(parts) > 0 AND host <> ''),
@@ -159,8 +159,8 @@ intervals AS (
   WHERE action = 'add'),
 keys AS (
   SELECT DISTINCT url, "at", unnest(list_concat(
-    list_transform(range(1, len(string_split(host, '.')) + 1), i -> array_to_string(string_split(host, '.')[i:], '.')),
-    list_transform(range(1, len(parts) + 1), i -> host || '/' || array_to_string(parts[1:i], '/')))) AS entry
+    list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')),
+    list_transform(range(1, len(parts) + 1), lambda i: host || '/' || array_to_string(parts[1:i], '/')))) AS entry
   FROM u WHERE host <> ''),
 met AS (
   SELECT k.url, k."at", count(*) FILTER (WHERE kind = 'block') AS n_block, count(*) FILTER (WHERE kind = 'allow') AS n_allow,
