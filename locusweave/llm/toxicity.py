@@ -22,6 +22,8 @@ MIN_MATCH = 6
 #: Both dictionaries end with this and every window begins with it.  It always matches, so every window is stored
 #: in compressed form (zstandard stores a block raw when it saves too little) and lengths compare byte by byte.
 ANCHOR = bytes(range(1, 31))
+#: Follows every window, as zstandard looks for no match that begins in the last bytes of a block.
+TAIL = ANCHOR[:10]
 #: Bytes a window must save to count as a hit.
 HIT = 4
 
@@ -32,7 +34,7 @@ def plain(text: str | None) -> bytes:
 
 def windows(text: str | None) -> list[bytes]:
     data = plain(text)
-    return [ANCHOR + data[i:i + WINDOW] for i in range(0, max(1, len(data) - WINDOW + STEP), STEP)]
+    return [ANCHOR + data[i:i + WINDOW] + TAIL for i in range(0, max(1, len(data) - WINDOW + STEP), STEP)]
 
 
 def dictionary(words: list[str]) -> zstandard.ZstdCompressionDict:
@@ -134,6 +136,8 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0, most:
     # At most 2 * most rows of five numbers come to the driver.
     found = rows.mapInArrow(run, "y int, x array<double>").collect()
     x, y = np.array([r.x for r in found]).reshape(-1, 5), np.array([r.y for r in found])
+    if len(set(y.tolist())) < 2:
+        return float(n1 / (n0 + n1))
     weight = np.where(y == 1, n1 / max(1, (y == 1).sum()), n0 / max(1, (y == 0).sum()))
     model.weights = logistic(x, y, weight / weight.mean())
     return model
