@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from locusweave.llm import bpe, qda, quality_rules, secrets, simhash, toxicity, url_filters
+from locusweave.llm import bpe, qda, quality_rules, secrets, simhash, token_files, toxicity, url_filters
 from locusweave.llm.registry import query, table
 
 
@@ -41,3 +41,10 @@ def op4(spark, d):
 def op6(spark, d):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.round_trip(table(spark, d, "documents"), path, public_tokenizers.PATTERN)
+
+
+@query("op5_rans_token_files")
+def op5(spark, d):
+    folder = token_files.new_folder(spark)
+    token_files.write(table(spark, d, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return token_files.read(spark, folder)
