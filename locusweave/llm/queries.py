@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from locusweave.llm import bpe, qda, quality_rules, secrets, simhash, token_files, toxicity, url_filters
+from locusweave.llm import bpe, decontaminate, qda, quality_rules, secrets, simhash, token_files, toxicity, url_filters
 from locusweave.llm.registry import query, table
 
 
@@ -48,3 +48,8 @@ def op5(spark, d):
     folder = token_files.new_folder(spark)
     token_files.write(table(spark, d, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
     return token_files.read(spark, folder)
+
+
+@query("op7_decontamination")
+def op7(spark, d):
+    return decontaminate.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
