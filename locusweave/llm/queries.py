@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from locusweave.llm import bpe, decontaminate, qda, quality_rules, secrets, simhash, token_files, toxicity, url_filters
+from locusweave.llm import bpe, decontaminate, pii, qda, quality_rules, secrets, simhash, token_files, toxicity, url_filters
 from locusweave.llm.registry import query, table
 
 
@@ -53,3 +53,8 @@ def op5(spark, d):
 @query("op7_decontamination")
 def op7(spark, d):
     return decontaminate.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query("op10_pii")
+def op10(spark, d):
+    return pii.pii_spans(table(spark, d, "documents")).drop("all_spans", "digest")

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from locusweave.llm.spans import listing
 from locusweave.session import materialize
 
 # The base patterns, the group that holds the secret, and the characters it needs at least.
@@ -39,15 +40,6 @@ def _matches(pattern: str, group: int, least: int, rank: int, mixed: bool = Fals
     return F.when(text.rlike(pattern), F.aggregate(parts, first, step, lambda s: s["found"])).otherwise(none)
 
 
-def _listing(spans: Column) -> Column:
-    """``kind:start:end`` by start, then kind."""
-    names = F.array(*[F.lit(k) for k in ORDER])
-    one = lambda s: F.concat_ws(
-        ":", F.element_at(names, s["rank"] + 1), s["start"].cast("string"), s["stop"].cast("string")
-    )
-    return F.concat_ws(",", F.transform(F.array_sort(spans), one))
-
-
 def scan(docs: DataFrame, owner: Column, repository: Column) -> DataFrame:
     """Per row: doc_id, owner, repository, a digest of the text, base spans and further candidate tokens."""
     source = docs.select(
@@ -126,8 +118,8 @@ def secret_spans(
     base_or_live = F.filter("verdicts", lambda v: v["live"] | (v["rank"] < len(KINDS)))
     base = F.filter("verdicts", lambda v: v["rank"] < len(KINDS))
     return joined.select(
-        "doc_id", *[f"n_{k}" for k in KINDS], F.sha2(_listing(base), 256).alias("base_sha256"),
-        _listing(base_or_live).alias("spans"), F.size(live).cast("bigint").alias("n_live"),
+        "doc_id", *[f"n_{k}" for k in KINDS], F.sha2(listing(base, ORDER), 256).alias("base_sha256"),
+        listing(base_or_live, ORDER).alias("spans"), F.size(live).cast("bigint").alias("n_live"),
         (F.size(base_or_live) - F.size(live)).cast("bigint").alias("n_copied"),
         F.transform(live, lambda v: F.struct(v["start"].alias("start"), v["stop"].alias("stop"))).alias("live_spans"),
         "digest",
