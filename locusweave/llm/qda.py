@@ -146,3 +146,17 @@ def quality_scores(docs: DataFrame, labels: DataFrame, mod: int = 4, held: int =
     return scored(features, model).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted")
     )
+
+
+def accepted(docs: DataFrame, labels: DataFrame, mod: int = 4, held: int = 2, cut: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` that the classifier of ``quality_scores`` gives ``cut`` or more, with all their columns."""
+    train = featured(docs).where(crc_remainder("doc_id", mod) != held).join(label_of(labels, "quality"), "doc_id")
+    model = fit(train)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            x = np.array([statistics(t.as_py()) for t in batch.column("text")])
+            s = np.full(len(x), model) if isinstance(model, float) else model.scores(x)
+            yield batch.filter(pa.array(s >= cut))
+
+    return docs.mapInArrow(run, docs.schema)
