@@ -38,7 +38,7 @@ class Split:
 
 @dataclass(frozen=True)
 class TightSplit:
-    """Late, stricter re-split of loci, given up for loci that fall into too many pieces."""
+    """Late, stricter re-split of loci; with ``max_segments`` given up for loci that fall into more pieces."""
 
     bin_size: int = 100
     peak_frac: float = 0.12
@@ -47,7 +47,7 @@ class TightSplit:
     merge_min_segment_bp: int = 2500
     merge_max_gap_bp: int = 400
     min_input_span_bp: int = 8000
-    max_segments: int = 12
+    max_segments: int | None = None  # published: 12
 
 
 @dataclass(frozen=True)
@@ -142,7 +142,7 @@ class Integrated:
 
 @dataclass(frozen=True)
 class Explore:
-    """Adaptive reseeding."""
+    """Adaptive reseeding; a round adds ``max_new_seeds`` and rounds go on until there is no new one."""
 
     max_new_seeds: int = 1
     min_component_reads: int = 20
@@ -154,16 +154,16 @@ class Explore:
     novel_distance: int = 5_000_000
     skeleton: bool = False
     skeleton_min_score: float = 0.35
-    skeleton_top_k: int = 25
+    skeleton_top_k: int | None = None  # published: 25
     hotspots: bool = False
     hotspot_bin: int = 50_000
     hotspot_min_reads: int = 200
-    hotspot_top_k: int = 3
+    hotspot_top_k: int | None = None  # published: 3; a round adds max_new_seeds at most
     hotspot_min_shared_frac: float = 0.05
     hotspot_min_seeds: int = 2
     hotspot_gap: int = 500_000
-    max_growth: float = 2.0
-    max_rounds: int = 5
+    max_growth: float | None = None  # published: 2.0; ends a strict search whose loci grow faster
+    max_rounds: int | None = None  # published: 5
 
 
 @dataclass(frozen=True)
@@ -172,13 +172,13 @@ class Fast:
 
     min_reads: int = 2
     min_size: int = 10_000
-    max_size: int = 2_000_000
+    max_size: int | None = None  # published: 2,000,000
     cluster_distance: int = 10_000
     split_valleys: bool = False
     valley_frac: float = 0.15
     min_segment: int = 5000
     bin_size: int = 100
-    max_rounds: int = 2
-    top_loci: int = 5
+    max_rounds: int | None = None  # published: 2; None goes on until no read is added
+    top_loci: int | None = None  # published: 5; None expands around every new locus
     window: int = 20_000
     index_bin: int = 10_000

@@ -5,8 +5,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-EXACT_TERMS = 256
-MIN_LOG_P = -745.0
+#: Where the published switch to a normal approximation is wanted: terms of the exact sum at most.
+PUBLISHED_TERMS = 256
+#: Standard deviations around the mode beyond which all terms together are below the smallest double.
+REACH = 40
 
 # Fixed coefficients of the rational erf approximation 7.1.26 of Abramowitz and Stegun.
 ERF_P = 0.3275911
@@ -70,23 +72,38 @@ def upper_tail_normal(k: Column, k_pop: Column, n_draw: Column, n_total: Column)
 
 
 def hypergeometric_upper_tail(
-    pairs: DataFrame, k: str, k_pop: str, n_draw: str, n_total: str
+    pairs: DataFrame, k: str, k_pop: str, n_draw: str, n_total: str, exact_terms: int | None = None
 ) -> DataFrame:
-    """``pairs`` with ``p_value`` = P(X >= k); exact up to 256 terms, else the normal approximation."""
+    """``pairs`` with ``p_value`` = P(X >= k), summed exactly whatever the size.
+
+    Terms are scaled by the largest so far as they are added, so none underflows, and those too far from the mode
+    to change a double are left out.  With ``exact_terms`` (published value: PUBLISHED_TERMS) sums of more terms are
+    replaced by the normal approximation.
+    """
     K, P, D, N = (F.col(c).cast("bigint") for c in (k, k_pop, n_draw, n_total))
     top = F.least(P, D)
     low = F.greatest(K, D + P - N)
-    terms = F.when((top >= low) & (top - K + 1 <= EXACT_TERMS), F.sequence(low, top))
-    log_p = F.transform(terms, lambda i: ln_hypergeometric(i, P, D, N))
-    exact = F.aggregate(
-        log_p, F.lit(0.0), lambda acc, x: acc + F.when(x > MIN_LOG_P, F.exp(x)).otherwise(0.0)
-    )
-    p = (
-        F.when(K <= 0, 1.0)
-        .when(K > top, 0.0)
-        .when(top - K + 1 <= EXACT_TERMS, F.least(F.lit(1.0), exact))
-        .otherwise(upper_tail_normal(K, P, D, N))
-    )
+    mode = F.floor((D + 1) * (P + 1) / (N + 2)).cast("bigint")
+    spread = F.sqrt(D * (P / N) * (1 - P / N) * (N - D) / F.greatest(N - 1, F.lit(1)))
+    reach = (F.ceil(F.coalesce(spread, F.lit(0.0)) * REACH) + REACH).cast("bigint")
+    begin = F.least(F.greatest(low, mode - reach), top)
+    until = F.greatest(F.least(top, F.greatest(low, mode) + reach), begin)
+    log_p = F.transform(F.when(top >= low, F.sequence(begin, until)), lambda i: ln_hypergeometric(i, P, D, N))
+
+    def add(acc: Column, x: Column) -> Column:
+        more = x > acc["top"]
+        return F.struct(
+            F.greatest(x, acc["top"]).alias("top"),
+            F.when(more, acc["sum"] * F.exp(acc["top"] - x) + 1.0).otherwise(acc["sum"] + F.exp(x - acc["top"])).alias("sum"),
+        )
+
+    first = F.struct(F.lit(-1e308).alias("top"), F.lit(0.0).alias("sum"))
+    exact = F.aggregate(log_p, first, add, lambda acc: F.least(F.lit(1.0), F.exp(acc["top"] + F.log(acc["sum"]))))
+    p = F.when(K <= 0, 1.0).when(K > top, 0.0)
+    if exact_terms is None:
+        p = p.otherwise(exact)
+    else:
+        p = p.when(top - K + 1 <= exact_terms, exact).otherwise(upper_tail_normal(K, P, D, N))
     return pairs.withColumn("p_value", p)
 
 

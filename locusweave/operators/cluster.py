@@ -57,12 +57,13 @@ def cluster_alignments(
 
 
 def cluster_by_distinct_reads(
-    alignments: DataFrame, gap: int, min_reads: int, min_size: int, max_size: int
+    alignments: DataFrame, gap: int, min_reads: int, min_size: int, max_size: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Loci with enough distinct reads and a span in range, and their (chrom, start, read_id) members."""
-    found = islands(alignments, gap).where(
-        (F.col("end") - F.col("start") >= min_size) & (F.col("end") - F.col("start") <= max_size)
-    )
+    span = F.col("end") - F.col("start")
+    found = islands(alignments, gap).where(span >= min_size)
+    if max_size is not None:
+        found = found.where(span <= max_size)
     members = island_members(alignments, found)
     n = members.groupBy("chrom", F.col("island").alias("start")).agg(F.count(F.lit(1)).alias("n_reads"))
     loci = found.join(n, ["chrom", "start"]).where(F.col("n_reads") >= min_reads)

@@ -5,6 +5,9 @@ narrowest bin width its span fits in.  Only the regions are exploded, to every b
 that could hold a partner.  Each (alignment, region) pair therefore meets under exactly one key,
 so inner, semi and anti joins all work without a dedup step.  A hot bin is split by the adaptive
 skew join, as the alignment side carries no later requirement on that key.
+
+The levels widen by 4 until one bin spans the whole axis, so every length has a level of its own and no bin collects
+all long alignments.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -13,24 +16,28 @@ from pyspark.sql import functions as F
 from locusweave.functions.intervals import overlaps_half_open, overlaps_inclusive
 
 DEFAULT_BIN = 8192
-_LEVELS = 4
 _STEP = 4
+#: No coordinate lies beyond this.
+AXIS = 1 << 32
 _LVL, _BIN = "_lvl", "_bin"
 
 
 def _widths(bin_width: int) -> list[int]:
-    return [bin_width * _STEP**i for i in range(_LEVELS)]
+    """Bin widths of all levels, the last one at least the axis."""
+    widths = [bin_width]
+    while widths[-1] < AXIS:
+        widths.append(widths[-1] * _STEP)
+    return widths
 
 
 def _with_point_key(df: DataFrame, start: str, end: str, bin_width: int) -> DataFrame:
-    """One (level, bin) per interval; spans beyond the widest level share a catch-all bin."""
-    span = F.col(end) - F.col(start)
-    level = F.lit(_LEVELS)
-    bin_ = F.lit(0).cast("bigint")
-    for i in reversed(range(_LEVELS)):
-        w = _widths(bin_width)[i]
-        level = F.when(span <= w, F.lit(i)).otherwise(level)
-        bin_ = F.when(span <= w, F.floor(F.col(start) / F.lit(w))).otherwise(bin_)
+    """One (level, bin) per interval: the narrowest level its span fits in, and the bin of its start."""
+    span, widths = F.col(end) - F.col(start), _widths(bin_width)
+    level = F.lit(len(widths) - 1)
+    bin_ = F.floor(F.col(start) / F.lit(widths[-1]))
+    for i in reversed(range(len(widths) - 1)):
+        level = F.when(span <= widths[i], F.lit(i)).otherwise(level)
+        bin_ = F.when(span <= widths[i], F.floor(F.col(start) / F.lit(widths[i]))).otherwise(bin_)
     return df.withColumn(_LVL, level).withColumn(_BIN, bin_)
 
 
@@ -45,7 +52,6 @@ def _with_cover_keys(df: DataFrame, start: str, end: str, bin_width: int) -> Dat
         lo = F.floor(F.col(start) / F.lit(w)) - 1
         hi = F.greatest(F.floor(F.col(end) / F.lit(w)), lo)
         keys.append(_at_level(F.sequence(lo, hi), i))
-    keys.append(_at_level(F.array(F.lit(0).cast("bigint")), _LEVELS))
     return (
         df.withColumn("_k", F.explode(F.concat(*keys)))
         .withColumn(_LVL, F.col("_k.l"))
@@ -111,13 +117,14 @@ def as_regions(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def bin_lookup(items: DataFrame, regions: DataFrame, bin_size: int = 10_000) -> DataFrame:
-    """Distinct reads stored in any bin a region touches: a superset lookup without exact re-check."""
-    stored = items.select(
-        "chrom",
-        "read_id",
-        F.explode(F.expr(f"sequence(start div {bin_size}, end div {bin_size})")).alias("bin"),
-    )
-    wanted = regions.select(
-        "chrom", F.explode(F.expr(f"sequence(q_start div {bin_size}, q_end div {bin_size})")).alias("bin")
+    """Distinct reads stored in any bin a region touches: a superset lookup without exact re-check.
+
+    A read is stored in all bins from its start to its end, so it shares a bin with a region exactly if it overlaps the
+    region widened to whole bins.
+    """
+    whole = regions.select(
+        "chrom", F.expr(f"q_start div {bin_size} * {bin_size}").alias("q_start"),
+        F.expr(f"q_end div {bin_size} * {bin_size} + {bin_size - 1}").alias("q_end"),
     ).distinct()
-    return stored.join(wanted, ["chrom", "bin"], "left_semi").select("read_id").distinct()
+    src = items.select("read_id", "chrom", "start", "end")
+    return interval_join(src, whole, how="left_semi", mode="inclusive").select("read_id").distinct()

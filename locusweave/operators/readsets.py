@@ -71,13 +71,18 @@ def _sided(df: DataFrame, keys: list[str], side: str) -> DataFrame:
     return df.select(*keys, F.col("locus_id").alias(side), *[F.col(c).alias(c + side) for c in values])
 
 
-def _pairs_of_light_reads(rows: DataFrame, keys: list[str]) -> DataFrame:
-    a = rows.select(*keys, "read_id", F.col("locus_id").alias("a"))
-    b = rows.select(*keys, "read_id", F.col("locus_id").alias("b"))
+def _sizes_fit(threshold: float) -> Column:
+    """A pair can only reach the threshold if the smaller set is at least that share of the larger one."""
+    return F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold) - F.lit(1e-9)
+
+
+def _pairs_of_light_reads(rows: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    a = rows.select(*keys, "read_id", F.col("locus_id").alias("a"), F.col("n").alias("na"))
+    b = rows.select(*keys, "read_id", F.col("locus_id").alias("b"), F.col("n").alias("nb"))
     return (
         a.join(b, [*keys, "read_id"])
-        .where(F.col("a") < F.col("b"))
-        .groupBy(*keys, "a", "b")
+        .where((F.col("a") < F.col("b")) & _sizes_fit(threshold))
+        .groupBy(*keys, "a", "b", "na", "nb")
         .agg(F.count(F.lit(1)).alias("light"))
     )
 
@@ -93,10 +98,9 @@ def _blocked_pairs(rows: DataFrame, keys: list[str], threshold: float, hot: int)
                        F.col("blk").alias("bi"), every.alias("bj"))
     right = base.select(*keys, "read_id", F.col("locus_id").alias("b"), F.col("n").alias("nb"),
                         every.alias("bi"), F.col("blk").alias("bj"))
-    fits = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold) - F.lit(1e-9)
     return (
         left.join(right, [*keys, "read_id", "bi", "bj"])
-        .where((F.col("a") < F.col("b")) & fits)
+        .where((F.col("a") < F.col("b")) & _sizes_fit(threshold))
         .select(*keys, "a", "b")
         .distinct()
     )
@@ -107,8 +111,8 @@ def shared_counts(
 ) -> DataFrame:
     """(keys, a, b, shared, na, nb) for locus pairs a < b that can reach Jaccard >= ``threshold``.
 
-    Exact in two tiers.  Reads in at most ``hot`` loci emit their pairs and are counted.  For reads
-    in more loci, pairs come only from the prefix filter: with reads ordered rare first, two sets
+    Exact in two tiers.  Reads in at most ``hot`` loci emit the pairs whose set sizes can reach the threshold, with
+    those sizes, and are counted.  For reads in more loci, pairs come only from the prefix filter: with reads ordered rare first, two sets
     reach the threshold only if they share a read among the first ``n - required + 1`` of each, so
     a hot read is expanded only for loci that cannot do without it, and block against block.
     The hot part of the overlap is then counted by probing the smaller set.  Whether any hot read
@@ -120,19 +124,14 @@ def shared_counts(
     members = members.select(*keys, "locus_id", "read_id")
     sizes = members.groupBy(*keys, "locus_id").agg(F.count(F.lit(1)).alias("n"))
     freq = members.groupBy(*keys, "read_id").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
-    rows = members.join(freq, [*keys, "read_id"])
+    rows = members.join(sizes, [*keys, "locus_id"]).join(freq, [*keys, "read_id"])
 
-    light = _pairs_of_light_reads(rows.where(F.col("freq") <= hot), keys)
+    light = _pairs_of_light_reads(rows.where(F.col("freq") <= hot), keys, threshold)
     needed = F.ceil((F.col("na") + F.col("nb")) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))
     if freq.where(F.col("freq") > hot).isEmpty():
-        return (
-            light.join(_sided(sizes, keys, "a"), [*keys, "a"])
-            .join(_sided(sizes, keys, "b"), [*keys, "b"])
-            .where(F.col("light") >= needed)
-            .select(*keys, "a", "b", F.col("light").alias("shared"), "na", "nb")
-        )
+        return light.where(F.col("light") >= needed).select(*keys, "a", "b", F.col("light").alias("shared"), "na", "nb")
 
-    hot_rows = rows.where(F.col("freq") > hot).join(sizes, [*keys, "locus_id"])
+    hot_rows = rows.where(F.col("freq") > hot)
     by_freq = hot_rows.groupBy(*keys, "locus_id", "n", "freq").agg(F.count(F.lit(1)).alias("c"))
     per_locus = Window.partitionBy(*keys, "locus_id")
     in_prefix = (

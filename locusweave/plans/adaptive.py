@@ -1,5 +1,7 @@
 """Adaptive reseeding: detect from one seed, then add seeds from disconnected or promising regions."""
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,7 +96,7 @@ def explore_pool(
             (span <= x.max_span) & (span >= 1000) & (sim >= x.min_jaccard) & F.lit(x.min_shared_frac <= 1.0) & (score >= x.min_score)
         )
         if model is not None:
-            top = materialize(c.orderBy(*order).limit(x.skeleton_top_k))
+            top = materialize(c if x.skeleton_top_k is None else c.orderBy(*order).limit(x.skeleton_top_k))
             fit = skeleton_scores(locus_features(alignments, top, **kw), model).where(F.col("skeleton") >= x.skeleton_min_score)
             c = top.join(fit.select(KEY), KEY, "left_semi")
     c = c.join(_near_seed_ids(c, seeds), KEY, "left_anti")
@@ -126,7 +128,7 @@ def propose_hotspots(
     support = near.groupBy("chrom", "start").agg(F.count_distinct("seed_ord").alias("n_support"))
     order = [F.desc("n_shared"), F.desc("n_total"), "chrom", "start"]
     ok = h.join(support, ["chrom", "start"]).where(F.col("n_support") >= x.hotspot_min_seeds)
-    best = first_per(ok, ["chrom"], order).orderBy(*order).limit(min(x.hotspot_top_k, x.max_new_seeds))
+    best = first_per(ok, ["chrom"], order).orderBy(*order).limit(min(x.hotspot_top_k or x.max_new_seeds, x.max_new_seeds))
     name = F.concat_ws("_", F.lit("hotspot_seed"), "n_total", "n_shared", F.concat(F.lit("s"), F.col("n_support").cast("string")))
     return best.select("chrom", "start", "end", name.alias("name"))
 
@@ -144,13 +146,13 @@ def detect_adaptive(
     kw = {"bin_width": params.bin_width}
     previous = 0
     last_chrom = None
-    for round_ in range(1, x.max_rounds + 1):
+    for round_ in count(1):
         g = detect_single_seed(alignments, current, params, chroms)
         per_seed = materialize(reachable_loci(g))
         loci = materialize(drop_near_duplicates(per_seed, ["seed_ord", "distance", "start"], 5000))
         members = g.members.join(loci.select("seed_ord", KEY), ["seed_ord", KEY], "left_semi").select(KEY, "read_id")
         n = loci.count()
-        if x.strict and previous and n / previous > x.max_growth:
+        if x.strict and x.max_growth is not None and previous and n / previous > x.max_growth:
             break
         previous = n
         if round_ == x.max_rounds:

@@ -38,18 +38,22 @@ def local_session(app: str = "locusweave", cores: str = "8", shuffle_partitions:
     return tune(spark)
 
 
+#: Own key for sessions whose ``spark.checkpoint.dir`` is unset; that one cannot be set on a running session.
+WORK_KEY = "spark.locusweave.workdir"
+
+
 def work_folder(spark: SparkSession) -> str:
     """The shared folder intermediate tables go to: ``spark.checkpoint.dir`` of the session.
 
-    Only a local master, where driver and tasks share one disk, may fall back to a temporary folder.
+    Where that is unset, ``spark.locusweave.workdir`` is used; only a local master, where driver and tasks share one
+    disk, may leave both unset and gets a temporary folder.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(WORK_KEY, None)
     if folder is None:
-        sc = spark.sparkContext
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"set spark.checkpoint.dir (or {WORK_KEY}) to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="run-tables-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        spark.conf.set(WORK_KEY, folder)
     return folder
 
 

@@ -102,3 +102,8 @@ def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
         start.alias("start"),
         (start + 400 + F.col("p_size") * 10).cast("bigint").alias("end"),
     )
+
+
+def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The region table as it is: (r_regionkey, r_name)."""
+    return _table(spark, sf_dir, "region")

@@ -177,7 +177,23 @@ def _raw_peaks(spark, d):
     return raw_peaks(prof, params).select("locus_id", "bin", F.round("cov", 6).alias("cov"))
 
 
-@query("greedy_peaks")
+def _greedy(raw: str, min_bins: int, name: str = "kp") -> str:
+    """Kept peaks: each candidate in turn is kept, replaces the last kept one, or is dropped."""
+    raw = raw.replace("pk AS (SELECT", "pk AS MATERIALIZED (SELECT")
+    far = f"p.bin - g.bin >= {min_bins}"
+    pick = lambda c: f"CASE WHEN {far} OR p.cov > g.cov THEN p.{c} ELSE g.{c} END"
+    return f"""{raw},
+gr AS (SELECT locus_id, peak AS i, CAST(0 AS BIGINT) AS k, bin, bin_start, cov, nb, mx FROM pk WHERE peak = 0
+  UNION ALL SELECT p.locus_id, p.peak, CASE WHEN {far} THEN g.k + 1 ELSE g.k END, {pick("bin")}, {pick("bin_start")}, {pick("cov")}, p.nb, p.mx
+  FROM gr g JOIN pk p ON p.locus_id = g.locus_id AND p.peak = g.i + 1),
+{name} AS (SELECT locus_id, k AS peak, arg_max(bin, i) AS bin, arg_max(bin_start, i) AS bin_start, arg_max(cov, i) AS cov,
+  max(nb) AS nb, max(mx) AS mx FROM gr GROUP BY 1, 2)"""
+
+
+GREEDY = _greedy(RAW, 10)
+
+
+@query("greedy_peaks", f"WITH RECURSIVE {GREEDY} SELECT locus_id, peak, bin_start + 10 AS position, round(cov, 6) AS cov FROM kp")
 def _greedy_peaks(spark, d):
     _, prof, params = _profile(spark, d)
     return find_peaks(prof, params, BIN).select("locus_id", "peak", "position", F.round("cov", 6).alias("cov"))
@@ -235,30 +251,83 @@ def _split_at_valleys(spark, d):
     return segs.select("locus_id", "start", "end")
 
 
-@query("split_by_peaks")
+def _peak_cuts_sql(min_gap: int, min_segment: int) -> str:
+    return f"""mids AS (SELECT locus_id, bin_start + 10 AS p0, lead(bin_start + 10) OVER (PARTITION BY locus_id ORDER BY bin) AS nxt FROM kp),
+md AS MATERIALIZED (SELECT locus_id, ls, p0 + (nxt - p0) // 2 AS mid, row_number() OVER (PARTITION BY locus_id ORDER BY p0) AS rn
+  FROM mids JOIN loci USING (locus_id) WHERE nxt - p0 >= {min_gap} AND le - (p0 + (nxt - p0) // 2) >= {min_segment}),
+pc AS (SELECT locus_id, CAST(0 AS BIGINT) AS rn, ls AS last, CAST(NULL AS BIGINT) AS hit FROM md WHERE rn = 1
+  UNION ALL SELECT md.locus_id, md.rn, CASE WHEN mid - last >= {min_segment} THEN mid ELSE last END, CASE WHEN mid - last >= {min_segment} THEN mid END
+  FROM pc JOIN md ON md.locus_id = pc.locus_id AND md.rn = pc.rn + 1)"""
+
+
+@query("split_by_peaks", f"WITH RECURSIVE {GREEDY}, {_peak_cuts_sql(200, 100)} SELECT locus_id, hit AS position FROM pc WHERE hit IS NOT NULL")
 def _split_by_peaks(spark, d):
     loci, prof, params = _profile(spark, d)
     return peak_cuts(loci, find_peaks(prof, params, BIN), params)
 
 
-@query("merge_small_segments")
+def _greedy_valleys(greedy: str) -> str:
+    """The valleys between kept peaks."""
+    return VALLEYS.replace(RAW, greedy).replace("FROM pk WINDOW", "FROM kp WINDOW")
+
+
+def _merged_sql(cuts: str, min_size: int, max_gap: int) -> str:
+    """Segments between ``cuts`` (locus_id, p), and small ones absorbed."""
+    return f"""pt AS (SELECT locus_id, p FROM ({cuts}) UNION SELECT locus_id, ls FROM loci),
+sg AS (SELECT locus_id, chrom, p AS st, coalesce(lead(p) OVER (PARTITION BY locus_id ORDER BY p), le) AS en FROM pt JOIN loci USING (locus_id)),
+nb2 AS (SELECT *, en - st AS size, st - lag(en) OVER w AS gl, lead(st) OVER w - en AS gr2, coalesce(lag(en - st) OVER w, 0) AS lsz,
+  coalesce(lead(en - st) OVER w, 0) AS rsz FROM sg WINDOW w AS (PARTITION BY locus_id ORDER BY st)),
+gw AS (SELECT *, size < {min_size} AND ((gl IS NOT NULL AND gl <= {max_gap} AND (lsz >= rsz OR gr2 IS NULL OR gr2 > {max_gap}))
+  OR (gr2 IS NOT NULL AND gr2 <= {max_gap} AND rsz > 0)) AS gives FROM nb2),
+kg AS (SELECT *, sum(CASE WHEN gives THEN 0 ELSE 1 END) OVER (PARTITION BY locus_id ORDER BY st ROWS UNBOUNDED PRECEDING) AS kept FROM gw),
+mg AS (SELECT locus_id, chrom, min(st) AS st, arg_max(en, st) AS en FROM kg WHERE kept > 0 GROUP BY locus_id, chrom, kept)"""
+
+
+_USABLE = "SELECT DISTINCT locus_id, position AS p FROM v JOIN loci USING (locus_id) WHERE is_significant AND position - ls >= 100 AND le - position >= 100"
+
+
+@query(
+    "merge_small_segments",
+    f"""WITH RECURSIVE {_greedy_valleys(GREEDY)}, {_merged_sql(_USABLE, 250, 100)} SELECT locus_id, chrom, st AS start, en AS "end" FROM mg""",
+)
 def _merge_small_segments(spark, d):
     loci, prof, params = _profile(spark, d)
     segs = split_by_valleys(loci, find_valleys(prof, find_peaks(prof, params, BIN), BIN), params)
     return merge_small_segments(segs, 250, 100)
 
 
-@query("coverage_pieces")
+@query(
+    "coverage_pieces",
+    f"""WITH RECURSIVE {_greedy_valleys(_greedy(RAW.replace("0.5 * mx", "0.3 * mx"), 5))}, {_peak_cuts_sql(100, 100)},
+bv AS ({_USABLE}),
+{_merged_sql("SELECT locus_id, p FROM bv UNION ALL SELECT locus_id, hit FROM pc WHERE hit IS NOT NULL AND locus_id NOT IN (SELECT locus_id FROM bv)", 200, 100)}
+SELECT locus_id, chrom, st AS start, en AS "end" FROM mg
+UNION ALL SELECT locus_id, chrom, ls, le FROM loci WHERE locus_id NOT IN (SELECT locus_id FROM mg)""",
+)
 def _coverage_pieces(spark, d):
     loci = _spans(whole_loci(spark, d)[0])
     params = fixed_valley_params(loci, 0.3, 100, 100)
     return coverage_pieces(tables.alignments(spark, d), loci, params, BIN, 200, 100, bin_width=BW)
 
 
-@query("tight_resplit")
+_WIDE = (
+    RAW.replace("0.5 * mx", "0.12 * mx").replace("FROM loci)", "FROM loci WHERE le - ls >= 800)")
+    .replace("FROM a JOIN loci USING (chrom)", "FROM a JOIN (SELECT * FROM loci WHERE le - ls >= 800) USING (chrom)")
+)
+
+
+@query(
+    "tight_resplit",
+    f"""WITH RECURSIVE {_greedy_valleys(_greedy(_WIDE, 5))}, {_peak_cuts_sql(100, 100)},
+bv AS ({_USABLE}),
+{_merged_sql("SELECT locus_id, p FROM bv UNION ALL SELECT locus_id, hit FROM pc WHERE hit IS NOT NULL AND locus_id NOT IN (SELECT locus_id FROM bv)", 200, 50)},
+pcs AS (SELECT locus_id, chrom, st, en FROM mg JOIN loci USING (locus_id, chrom) WHERE le - ls >= 800
+  UNION ALL SELECT locus_id, chrom, ls, le FROM loci WHERE le - ls >= 800 AND locus_id NOT IN (SELECT locus_id FROM mg))
+SELECT chrom, st AS start, en AS "end" FROM pcs UNION ALL SELECT chrom, ls, le FROM loci WHERE le - ls < 800""",
+)
 def _tight_resplit(spark, d):
     loci, members = kept_loci(spark, d)
-    cfg = TightSplit(bin_size=BIN, min_gap_bp=100, min_segment_bp=100, merge_min_segment_bp=200, merge_max_gap_bp=50, min_input_span_bp=800)
+    cfg = TightSplit(bin_size=BIN, min_gap_bp=100, min_segment_bp=100, merge_min_segment_bp=200, merge_max_gap_bp=50, min_input_span_bp=800, max_segments=None)
     out, _ = tight_resplit(tables.alignments(spark, d), _spans(loci), members, cfg, bin_width=BW)
     return out.select("chrom", "start", "end")
 

@@ -138,7 +138,27 @@ def _family_any_overlap(spark, d):
     return f.withColumn("sensitivity", F.round("sensitivity", 6)).withColumn("avg_overlap", F.round("avg_overlap", 6))
 
 
-@query("family_half_coverage")
+@query(
+    "family_half_coverage",
+    f"""WITH RECURSIVE {DET},
+o AS MATERIALIZED (SELECT family_id, gene_id, locus_id, iou_u, row_number() OVER (PARTITION BY family_id ORDER BY iou_u DESC, gene_id DESC, locus_id DESC) AS rn FROM pr),
+gm AS (SELECT family_id, rn, [gene_id] AS gn, [locus_id] AS lc, iou_u AS total FROM o WHERE rn = 1
+  UNION ALL SELECT o.family_id, o.rn,
+    CASE WHEN list_contains(gn, gene_id) OR list_contains(lc, locus_id) THEN gn ELSE list_append(gn, gene_id) END,
+    CASE WHEN list_contains(gn, gene_id) OR list_contains(lc, locus_id) THEN lc ELSE list_append(lc, locus_id) END,
+    CASE WHEN list_contains(gn, gene_id) OR list_contains(lc, locus_id) THEN total ELSE total + iou_u END
+  FROM gm JOIN o ON o.family_id = gm.family_id AND o.rn = gm.rn + 1),
+m AS (SELECT family_id, len(arg_max(gn, rn)) AS matched, arg_max(total, rn) AS total FROM gm GROUP BY 1),
+ng AS (SELECT family_id, count(*) AS n_genes FROM genes GROUP BY 1),
+tp AS (SELECT family_id, count(DISTINCT gene_id) AS tp FROM pr WHERE ov > (ge - gs) * 0.5 GROUP BY 1),
+nd AS (SELECT family_id, count(*) AS n_det FROM det GROUP BY 1),
+nt AS (SELECT family_id, count(DISTINCT locus_id) AS n_touch FROM pr GROUP BY 1),
+z AS (SELECT family_id, n_genes, coalesce(tp, 0) AS tp, coalesce(n_det, 0) AS n_det, coalesce(n_touch, 0) AS n_touch, coalesce(matched, 0) AS matched, coalesce(total, 0) AS total
+  FROM ng LEFT JOIN tp USING (family_id) LEFT JOIN nd USING (family_id) LEFT JOIN nt USING (family_id) LEFT JOIN m USING (family_id))
+SELECT family_id, tp, n_genes - tp AS fn, n_det - n_touch AS fp, round(CAST(tp AS DOUBLE) / n_genes, 6) AS sensitivity,
+  round(CASE WHEN n_det > 0 THEN 1 - CAST(n_det - n_touch AS DOUBLE) / n_det ELSE 1 END, 6) AS specificity,
+  round(CASE WHEN matched > 0 THEN total / matched ELSE 0 END, 6) AS iou, matched FROM z""",
+)
 def _family_half_coverage(spark, d):
     genes, det = _detections(spark, d)
     f = family_by_half_coverage(genes, det)

@@ -21,7 +21,7 @@ from locusweave.session import materialize
 from locusweave.sources import tables
 from locusweave.workload import query
 from locusweave.workload.base import big, kept_loci, whole_loci
-from locusweave.workload.sql import ALN, EDGES, LOCI, SEEDS, clusters
+from locusweave.workload.sql import ALN, EDGES, LOCI, SEEDS, clusters, kept_larger
 
 SMALL = Detect(min_reads=2, bin_width=1024)
 
@@ -163,7 +163,16 @@ def _seed_loci(spark, d):
     )
 
 
-@query("detect_multi_seed")
+@query(
+    "detect_multi_seed",
+    f"""WITH RECURSIVE {SEED_GRAPH},
+rch AS (SELECT row_number() OVER (ORDER BY seed_ord, locus_id) AS id, seed_ord, chrom, ls, le, nr, sh, n_ref, distance
+  FROM l JOIN hops USING (seed_ord, locus_id) LEFT JOIN sim USING (seed_ord, locus_id) JOIN own_n USING (seed_ord)),
+{kept_larger("rch", "seed_ord, distance, ls")}
+SELECT chrom, ls AS start, le AS "end", round(coalesce(CAST(sh AS DOUBLE) / (nr + n_ref - sh), 0), 4) AS jaccard,
+  CAST(distance AS BIGINT) AS distance, CAST(distance + 1 AS BIGINT) AS component, coalesce(nr, 0) AS n_reads
+FROM rch JOIN kl USING (id)""",
+)
 def _detect_multi_seed(spark, d):
     loci, _ = plan.detect_multi_seed(tables.alignments(spark, d), tables.seeds(spark, d), SMALL)
     return loci.select(
@@ -225,12 +234,40 @@ def _min_seeds_filter(spark, d):
     return min_seeds_filter(mark_seed_loci(loci, seeds), members, sr, 3).select("locus_id")
 
 
-@query("core_read_filter")
+#: One wide seed per region row; reads with alignments in all of them are the core.
+WIDE_CORE = f"""{ALN}, wide AS (SELECT CAST(r_regionkey AS BIGINT) AS seed_ord, 'chr' || CAST(r_regionkey AS VARCHAR) AS chrom, 0 AS ss, 1000000 AS se FROM region),
+wr AS (SELECT DISTINCT seed_ord, read_id FROM a JOIN wide USING (chrom) WHERE s <= se AND e >= ss AND flag & 2048 = 0),
+lk AS (SELECT DISTINCT x.seed_ord AS u, y.seed_ord AS v FROM wr x JOIN wr y USING (read_id)),
+lab AS (SELECT DISTINCT u AS node, u AS label FROM lk UNION SELECT lk.v, label FROM lab JOIN lk ON lk.u = node WHERE label < lk.v),
+cmp AS (SELECT node AS seed_ord, min(label) AS component FROM lab GROUP BY 1),
+csz AS (SELECT component, count(*) AS k FROM cmp GROUP BY 1),
+core AS (SELECT component, read_id FROM wr JOIN cmp USING (seed_ord) JOIN csz USING (component) GROUP BY component, read_id, k HAVING count(*) = k)"""
+
+
+def _wide_seeds(spark, d):
+    return tables.regions(spark, d).select(
+        F.col("r_regionkey").cast("bigint").alias("seed_ord"), F.concat(F.lit("chr"), F.col("r_regionkey").cast("string")).alias("chrom"),
+        F.lit(0).cast("bigint").alias("start"), F.lit(1_000_000).cast("bigint").alias("end"),
+    )
+
+
+@query("core_reads_of_wide_seeds", f"WITH RECURSIVE {WIDE_CORE} SELECT component, read_id FROM core")
+def _core_reads_of_wide_seeds(spark, d):
+    sr = materialize(seed_reads(tables.alignments(spark, d), _wide_seeds(spark, d), bin_width=1024))
+    return core_reads(sr)
+
+
+@query(
+    "core_read_filter",
+    f"""WITH RECURSIVE {WIDE_CORE}, {LOCI}, {SEEDS},
+oc AS (SELECT DISTINCT locus_id FROM (SELECT locus_id FROM members JOIN core USING (read_id) GROUP BY locus_id, component HAVING count(*) >= 1))
+SELECT locus_id FROM loci WHERE EXISTS (SELECT 1 FROM seeds WHERE seeds.chrom = loci.chrom AND ls < se AND le > ss)
+  OR locus_id IN (SELECT locus_id FROM oc) OR NOT EXISTS (SELECT 1 FROM core)""",
+)
 def _core_read_filter(spark, d):
     loci, members = kept_loci(spark, d)
-    seeds = tables.seeds(spark, d)
-    sr = materialize(seed_reads(tables.alignments(spark, d), seeds, bin_width=1024))
-    return core_filter(mark_seed_loci(loci, seeds), members, core_reads(sr), 1).select("locus_id")
+    sr = materialize(seed_reads(tables.alignments(spark, d), _wide_seeds(spark, d), bin_width=1024))
+    return core_filter(mark_seed_loci(loci, tables.seeds(spark, d)), members, core_reads(sr), 1).select("locus_id")
 
 
 @query(
@@ -304,6 +341,26 @@ def _connectivity_seeds(spark, d):
     return chosen.select("seed_ord", "component", "component_size", "n_reads")
 
 
+@query(
+    "connectivity_seeds_strict",
+    f"""WITH RECURSIVE {HYPER},
+rk AS (SELECT j, row_number() OVER (ORDER BY j) AS rn, count(*) OVER () AS c FROM pv WHERE shared >= 1 AND j > 0),
+cut AS (SELECT greatest(0.001, coalesce(max(j), 0.001)) AS th FROM rk WHERE c >= 3 AND rn = CAST(floor((c - 1) * 0.9 + 0.5) AS BIGINT) + 1),
+ok AS (SELECT src, dst FROM pv, cut WHERE shared >= 1 AND j >= th AND p <= 1.0),
+bidir AS (SELECT src AS x, dst AS y FROM ok UNION ALL SELECT dst, src FROM ok),
+lab AS (SELECT seed_ord AS node, seed_ord AS label FROM seeds
+  UNION SELECT y, label FROM lab JOIN bidir ON x = node WHERE label < y),
+comp AS (SELECT node, min(label) AS component FROM lab GROUP BY 1),
+z AS (SELECT component, node, coalesce(k, 0) AS k, count(*) OVER (PARTITION BY component) AS size,
+  row_number() OVER (PARTITION BY component ORDER BY coalesce(k, 0) DESC, node DESC) AS rn FROM comp LEFT JOIN n ON n.seed_ord = node)
+SELECT node AS seed_ord, component, size AS component_size, k AS n_reads FROM z WHERE rn = 1""",
+)
+def _connectivity_seeds_strict(spark, d):
+    a, seeds = tables.alignments(spark, d), tables.seeds(spark, d)
+    chosen = select_connected_seeds(a, seeds, min_jaccard=0.001, quantile=0.9, min_shared=1, p_max=1.0, bin_width=1024)
+    return chosen.select("seed_ord", "component", "component_size", "n_reads")
+
+
 @query("fast_detect")
 def _fast_detect(spark, d):
     params = Fast(min_size=300, cluster_distance=100)

@@ -46,7 +46,7 @@ from locusweave.session import materialize
 from locusweave.sources import tables
 from locusweave.workload import query
 from locusweave.workload.base import kept_loci, whole_loci
-from locusweave.workload.sql import ALN, EDGES, LOCI, SEEDS
+from locusweave.workload.sql import ALN, EDGES, LOCI, SEEDS, anchored
 
 BW = 1024
 
@@ -304,14 +304,37 @@ def _splice_subclouds(spark, d):
     return sub
 
 
-@query("transcript_start_clusters")
+def _ends_sql(which: str, name: str) -> str:
+    """Clusters of transcript starts or ends per locus and strand, anchored at the outermost one."""
+    plus, minus = ("s", "-e") if which == "tss" else ("e", "-s")
+    return f"""{name}_t AS (SELECT locus_id, chrom, CASE WHEN rev THEN '-' ELSE '+' END AS strand, s, e, CASE WHEN rev THEN {minus} ELSE {plus} END AS pos
+  FROM (SELECT locus_id, chrom, ls, le FROM loci) x JOIN f USING (chrom) WHERE s <= le AND e >= ls AND kind = 0 AND e - s <= 200000),
+{anchored(f"{name}_t", "locus_id, strand", 100, False, f"{name}_c")},
+{name} AS (SELECT t.locus_id, t.chrom, t.strand, c.anchor, min(s) AS start, max(e) AS stop, count(*) AS n_transcripts
+  FROM {name}_t t JOIN {name}_c c ON t.locus_id = c.locus_id AND t.strand = c.strand AND t.pos = c.pos GROUP BY ALL)"""
+
+
+@query(
+    "transcript_start_clusters",
+    f"""WITH RECURSIVE {FULL_LOCI}, {_ends_sql("tss", "tss")} SELECT locus_id, strand, start, stop AS "end", n_transcripts FROM tss""",
+)
 def _transcript_start_clusters(spark, d):
     loci, _ = whole_loci(spark, d)
     t = transcript_boundaries(_full(spark, d), loci, bin_width=BW)
     return end_clusters(t, 100, "tss").select("locus_id", "strand", "start", "end", "n_transcripts")
 
 
-@query("split_by_transcripts")
+@query(
+    "split_by_transcripts",
+    f"""WITH RECURSIVE {FULL_LOCI}, {_ends_sql("tss", "tss")}, {_ends_sql("tes", "tes")},
+n AS (SELECT locus_id, chrom, ls, le, (SELECT count(*) FROM tss_t t WHERE t.locus_id = loci.locus_id) AS n FROM loci),
+a AS (SELECT locus_id, count(*) AS a FROM tss WHERE n_transcripts >= 3 GROUP BY 1),
+b AS (SELECT locus_id, count(*) AS b FROM tes WHERE n_transcripts >= 3 GROUP BY 1),
+ch AS (SELECT locus_id, abs(coalesce(b, 0) - 2) < abs(coalesce(a, 0) - 2) AS by_end FROM n LEFT JOIN a USING (locus_id) LEFT JOIN b USING (locus_id) WHERE n >= 3)
+SELECT locus_id, chrom, ls AS start, le AS "end", '+' AS strand, n AS n_transcripts FROM n WHERE n < 3
+UNION ALL SELECT locus_id, chrom, start, stop, strand, n_transcripts FROM tss JOIN ch USING (locus_id) WHERE NOT by_end AND n_transcripts >= 3
+UNION ALL SELECT locus_id, chrom, start, stop, strand, n_transcripts FROM tes JOIN ch USING (locus_id) WHERE by_end AND n_transcripts >= 3""".replace("\na AS (SELECT locus_id, count", "\nna AS (SELECT locus_id, count").replace("\nb AS (SELECT locus_id, count", "\nnbb AS (SELECT locus_id, count").replace("LEFT JOIN a USING", "LEFT JOIN na USING").replace("LEFT JOIN b USING", "LEFT JOIN nbb USING"),
+)
 def _split_by_transcripts(spark, d):
     loci, _ = whole_loci(spark, d)
     loci = materialize(loci.select("locus_id", "chrom", "start", "end"))
@@ -326,7 +349,14 @@ def _split_clouds(spark, d):
     return split_clouds(_full(spark, d), materialize(clouds), expected=3, bin_width=BW)
 
 
-@query("acceptor_support")
+@query(
+    "acceptor_support",
+    f"""WITH RECURSIVE {FULL},
+hits AS (SELECT chrom, read_id, unnest(CASE WHEN line % 4 = 0 THEN [s + 7 * q, s + 15 * q] WHEN line % 2 = 0 THEN [s + 12 * q] ELSE [] END) AS pos FROM f),
+{anchored("hits", "chrom", 12, True)}
+SELECT h.chrom, CAST(sum(h.pos) // count(*) AS BIGINT) AS center, count(DISTINCT read_id) AS n_reads
+FROM hits h JOIN an ON h.chrom = an.chrom AND h.pos = an.pos GROUP BY h.chrom, an.anchor""",
+)
 def _acceptor_support(spark, d):
     from locusweave.functions.cigar import acceptor_sites
 
@@ -334,7 +364,10 @@ def _acceptor_support(spark, d):
     return site_support(hits, ["chrom"], 12)
 
 
-@query("anchored_starts")
+@query(
+    "anchored_starts",
+    f"""WITH RECURSIVE {ALN}, pts AS (SELECT chrom, s AS pos FROM a), {anchored("pts", "chrom", 50, True)} SELECT chrom, pos, anchor FROM an""",
+)
 def _anchored_starts(spark, d):
     points = tables.alignments(spark, d).select("chrom", F.col("start").alias("pos"))
     return anchored_clusters(points, ["chrom"], 50, inclusive=True)
@@ -383,7 +416,28 @@ def _read_clouds(spark, d):
     return clouds.withColumn("density", F.round("density", 6))
 
 
-@query("read_clouds_by_strand")
+BY_STRAND = (
+    POINTS.replace("SELECT read_id, chrom, s, e, kind,", "SELECT read_id, chrom, rev, lead, tail, s, e, kind,")
+    .replace("SELECT DISTINCT chrom, s AS p FROM src", "SELECT DISTINCT chrom, rev, s AS p FROM src")
+    .replace("SELECT st.chrom, p, read_id, s, e, w, kind FROM st JOIN src ON st.chrom = src.chrom", "SELECT st.chrom, st.rev, p, read_id, s, e, w, kind FROM st JOIN src ON st.chrom = src.chrom AND st.rev = src.rev")
+    .replace("SELECT chrom, p, read_id, arg_min(w, (s, e, w)) AS w FROM act GROUP BY 1, 2, 3", "SELECT chrom, rev, p, read_id, arg_min(w, (s, e, w)) AS w FROM act GROUP BY 1, 2, 3, 4")
+    .replace("SELECT chrom, p, sum(w) AS wsum FROM lead GROUP BY 1, 2", "SELECT chrom, rev, p, sum(w) AS wsum FROM lead GROUP BY 1, 2, 3")
+    .replace("SELECT act.chrom, act.p,", "SELECT act.chrom, act.rev, act.p,")
+    .replace("AS n3 FROM act GROUP BY 1, 2)", "AS n3 FROM act GROUP BY 1, 2, 3)")
+    .replace("JOIN wt USING (chrom, p) WHERE wsum >= 80", "JOIN wt USING (chrom, rev, p) WHERE wsum >= 60")
+    .replace("ORDER BY cs, p ROWS", "ORDER BY cs, p, rev ROWS")
+    .replace("FROM cc JOIN act USING (chrom, p) GROUP BY 1, 2", "FROM cc JOIN act USING (chrom, rev, p) GROUP BY 1, 2")
+)
+
+
+@query(
+    "read_clouds_by_strand",
+    f"""WITH {BY_STRAND},
+x5 AS (SELECT cl.chrom, cl.cl, least(max(CASE WHEN rev THEN tail ELSE lead END), 50) AS x FROM cl JOIN src ON src.chrom = cl.chrom AND abs(s - start) <= 99 GROUP BY 1, 2),
+x3 AS (SELECT cl.chrom, cl.cl, least(max(CASE WHEN rev THEN lead ELSE tail END), 50) AS x FROM cl JOIN src ON src.chrom = cl.chrom AND abs(e - stop) <= 99 GROUP BY 1, 2)
+SELECT chrom, start - coalesce(x5.x, 0) AS start, stop + coalesce(x3.x, 0) AS "end", n_reads
+FROM cl JOIN rd USING (chrom, cl) LEFT JOIN x5 USING (chrom, cl) LEFT JOIN x3 USING (chrom, cl)""",
+)
 def _read_clouds_by_strand(spark, d):
     a = materialize(cloud_alignments(_full(spark, d)))
     clouds, _ = find_clouds(a, 6, 200, 5000, strand_aware=True)
@@ -441,7 +495,29 @@ def _refine_loci(spark, d):
     return r.select("locus_id", "start", "end", "method", "n_transcripts", F.round("jaccard", 6).alias("jaccard"))
 
 
-@query("exon_trim")
+@query(
+    "exon_trim",
+    f"""WITH RECURSIVE {FULL_LOCI},
+h AS (SELECT f.read_id, s, e, line, q, loci.locus_id, ls, le FROM f JOIN (SELECT locus_id, chrom, ls, le FROM loci) loci USING (chrom)
+  WHERE s <= le AND e >= ls AND kind = 0 AND EXISTS (SELECT 1 FROM members m WHERE m.locus_id = loci.locus_id AND m.read_id = f.read_id)),
+bl AS (SELECT locus_id, ls, le, unnest(CASE WHEN line % 4 = 0 THEN [[s, s + 5 * q], [s + 7 * q, s + 12 * q], [s + 15 * q, s + 20 * q]]
+  WHEN line % 2 = 0 THEN [[s, s + 8 * q], [s + 12 * q, s + 20 * q]] ELSE [[s, s + 20 * q]] END) AS x FROM h),
+un AS (SELECT locus_id, min(greatest(x[1], ls)) AS us, max(least(x[2], le)) AS ue FROM bl WHERE least(x[2], le) > greatest(x[1], ls) GROUP BY 1),
+md AS (SELECT locus_id, list_sort(list(s))[count(*) // 2 + 1] AS ms, list_sort(list(e))[count(*) // 2 + 1] AS me FROM h GROUP BY 1),
+st0 AS (SELECT locus_id, read_id, ls, le, unnest(CASE WHEN line % 4 = 0 THEN [s + 7 * q, s + 15 * q] WHEN line % 2 = 0 THEN [s + 12 * q] ELSE [] END) AS pos FROM h),
+site AS (SELECT locus_id, read_id, pos FROM st0 WHERE pos BETWEEN ls AND le),
+{anchored("site", "locus_id", 12, True)},
+sup AS (SELECT t.locus_id, CAST(sum(t.pos) // count(*) AS BIGINT) AS center FROM site t JOIN an ON an.locus_id = t.locus_id AND an.pos = t.pos
+  GROUP BY t.locus_id, anchor HAVING count(DISTINCT read_id) >= 3),
+cap AS (SELECT locus_id, min(center) AS cap FROM sup JOIN un USING (locus_id) JOIN (SELECT locus_id, le FROM loci) x USING (locus_id)
+  WHERE center BETWEEN us - 2500 AND us + 1200 AND center <= le AND center >= 0 GROUP BY 1),
+d AS (SELECT x.locus_id, ls, le, us, ue, ms, me, cap, greatest(1, CAST(ceil((le - ls) * 0.35::DOUBLE) AS BIGINT)) AS most
+  FROM (SELECT locus_id, ls, le FROM loci) x LEFT JOIN un ON un.locus_id = x.locus_id LEFT JOIN md ON md.locus_id = x.locus_id LEFT JOIN cap ON cap.locus_id = x.locus_id),
+d0 AS (SELECT *, ls + least(greatest(us - ls, 0), most) AS s0, le - least(greatest(le - ue, 0), most) AS e0 FROM d),
+d1 AS (SELECT *, least(s0, ms + 100, cap) AS s1, greatest(e0, me - 100) AS e1, us IS NOT NULL AND e0 - s0 >= 200 AS usable FROM d0)
+SELECT locus_id, CASE WHEN NOT usable THEN ls WHEN e1 - s1 >= 200 THEN s1 ELSE s0 END AS new_start,
+  CASE WHEN NOT usable THEN le WHEN e1 - s1 >= 200 THEN e1 ELSE e0 END AS new_end FROM d1""",
+)
 def _exon_trim(spark, d):
     loci, members = kept_loci(spark, d)
     return exon_trim(_full(spark, d), loci, members, ExonTrim(min_span=200, read_end_slack=100), bin_width=BW)

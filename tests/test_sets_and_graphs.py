@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from locusweave.functions.statistics import erf, hypergeometric_upper_tail, ln_binomial
+from locusweave.functions.statistics import PUBLISHED_TERMS, erf, hypergeometric_upper_tail, ln_binomial
 from locusweave.operators.graph import adaptive_edge_threshold, connected_components, hop_distances
 from locusweave.operators.readsets import jaccard_edges, jaccard_to_reference
 from locusweave.plans.seeds import core_reads, merge_seeds, novel_regions, select_connected_seeds
@@ -111,9 +111,19 @@ def test_hypergeometric(spark):
         assert r["v"] == pytest.approx(want, rel=1e-10, abs=1e-10)
 
 
-def test_many_terms_use_the_normal_tail(spark):
+def test_many_terms_are_summed_exactly(spark):
+    cases = [(1000, 20_000, 10_000, 200_000), (1200, 20_000, 10_000, 200_000), (5000, 20_000, 10_000, 200_000), (10, 20_000, 10_000, 200_000), (9000, 9000, 9000, 10**7)]
+    df = spark.createDataFrame(cases, "k long, p long, d long, n long")
+    ln = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    for r in hypergeometric_upper_tail(df, "k", "p", "d", "n").collect():
+        logs = [ln(r.p, i) + ln(r.n - r.p, r.d - i) - ln(r.n, r.d) for i in range(r.k, min(r.p, r.d) + 1)]
+        top = max(logs)
+        assert r.p_value == pytest.approx(min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs)), rel=1e-6, abs=1e-300)
+
+
+def test_published_switch_to_the_normal_tail(spark):
     r = hypergeometric_upper_tail(
-        spark.createDataFrame([(1000, 20_000, 10_000, 200_000)], "k long, p long, d long, n long"), "k", "p", "d", "n").first()
+        spark.createDataFrame([(1000, 20_000, 10_000, 200_000)], "k long, p long, d long, n long"), "k", "p", "d", "n", PUBLISHED_TERMS).first()
     sd = math.sqrt(1000 * 0.9 * 190_000 / 199_999)
     assert r["p_value"] == pytest.approx(0.5 * math.erfc(-0.5 / sd / math.sqrt(2)), abs=1e-6)
     x = spark.createDataFrame([(0.5,), (-1.2,), (3.0,)], "x double").withColumn("e", erf(F.col("x"))).collect()
