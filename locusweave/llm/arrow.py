@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 SPACES = b" \t\n\x0b\x0c\r"
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Keep the Arrow batches a Python worker receives small, also where the texts are long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+def bounded_batches(spark: SparkSession, rows: int = 1000, most: int = 4 << 20) -> None:
+    """Keep the Arrow batches that tasks and their Python workers exchange small, also where the texts are long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -27,6 +27,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         cuts = np.flatnonzero(np.diff(part)) + 1
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()  # workers live on after the task
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:

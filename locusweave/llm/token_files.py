@@ -26,7 +26,7 @@ from locusweave.session import work_folder
 #: Ids after which a block ends with the current document.
 BLOCK_IDS = 1 << 20
 #: Distinct pieces a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 #: A space before white space or a control character, or at the end: there a text is not cut into pieces.
 _ODD_SPACE = r" (?:[\s\x0b\p{Z}\p{C}]|$)"
 _CHUNK = 1000
@@ -51,9 +51,6 @@ class Pieces:
         for token, i in vocabulary.items():
             self.starts[i] = token.startswith("Ġ")  # how a byte-level vocabulary writes a space
         self.most = most
-        self.forget()
-
-    def forget(self) -> None:
         self.known = pa.array([], pa.string())
         self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
@@ -74,22 +71,23 @@ class Pieces:
             flats.append(ids)
         return np.concatenate(flats), np.concatenate(sizes).astype(np.int64)
 
-    def _learn(self, distinct: pa.Array) -> np.ndarray:
-        """The places of the pieces among the known ones."""
-        if len(self.known) + len(distinct) > self.most:
-            self.forget()
-        at = pc.index_in(distinct, value_set=self.known)
-        new = distinct.filter(pc.is_null(at))
-        if len(new):
-            flat, sizes = self._spaced(new.to_pylist())
-            at = at.to_numpy(zero_copy_only=False)
-            at = np.where(np.isnan(at), 0, at).astype(np.int64) if at.dtype.kind == "f" else at.astype(np.int64)
-            missing = pc.is_null(pc.index_in(distinct, value_set=self.known)).to_numpy(zero_copy_only=False)
-            at[missing] = len(self.known) + np.arange(len(new))
-            self.known = pa.concat_arrays([self.known, new])
-            self.sizes, self.flat = np.r_[self.sizes, sizes], np.r_[self.flat, flat]
-            return at
-        return at.to_numpy(zero_copy_only=False).astype(np.int64)
+    def _coded(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each piece's place in a list of sizes and ids: the remembered ones, then those new here.
+
+        New pieces are remembered until there are ``most``; frequent ones come early.
+        """
+        found = pc.index_in(distinct, value_set=self.known)
+        missing = pc.is_null(found)
+        at = pc.fill_null(found, 0).to_numpy().astype(np.int64)
+        new = distinct.filter(missing)
+        if not len(new):
+            return at, self.sizes, self.flat
+        flat, sizes = self._spaced(new.to_pylist())
+        at[missing.to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(new))
+        sizes, flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, flat])
+        if len(sizes) <= self.most:
+            self.known, self.sizes, self.flat = pa.concat_arrays([self.known, new]), sizes, flat
+        return at, sizes, flat
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in order, and their number in each text; null texts are empty."""
@@ -110,11 +108,12 @@ class Pieces:
             coded = flat.filter(pa.array(later)).dictionary_encode()
             ids, sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
             if len(coded):
-                place = self._learn(coded.dictionary)[coded.indices.to_numpy()]
-                sizes = self.sizes[place]
+                at, of_piece, pool = self._coded(coded.dictionary)
+                place = at[coded.indices.to_numpy()]
+                sizes = of_piece[place]
                 ends = np.cumsum(sizes)
-                begin = (np.cumsum(self.sizes) - self.sizes)[place]
-                ids = self.flat[np.repeat(begin - (ends - sizes), sizes) + np.arange(ends[-1])]
+                begin = (np.cumsum(of_piece) - of_piece)[place]
+                ids = pool[np.repeat(begin - (ends - sizes), sizes) + np.arange(ends[-1])]
             until = np.r_[0, np.cumsum(sizes)]
             pieces = np.cumsum(np.diff(bounds) - 1)
             cuts = until[np.r_[0, pieces]]
@@ -135,7 +134,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, pack, counts = pieces_of(path), zstandard.ZstdCompressor(level=3), np.zeros(0, np.int64)
-        for batch in slices(batches):
+        for batch in slices(batches, most=8 << 20):
             ids, sizes = pieces.encode(batch.column("text"))
             more = np.bincount(ids, minlength=end_id + 1)
             more[end_id] += len(sizes)
@@ -171,7 +170,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 0, block_ids: i
     document, and a null or empty text is the end id alone.  Every row is written, repeated ones too.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, 2500, 8 << 20)  # the piece memory is searched once for each batch
     tokenized(docs, path, end_id).write.parquet(f"{folder}/ids")
     ids = spark.read.parquet(f"{folder}/ids")
     table = frequency_table(ids.where("symbol IS NOT NULL").select("symbol", "times"))
