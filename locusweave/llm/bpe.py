@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from locusweave.llm.arrow import bounded_batches, id_and_text, slices
 
 LEAF = 48
-#: Matches a worker remembers; more only costs time, so the oldest are forgotten.
-REMEMBERED = 400_000
+#: Matches a worker remembers; frequent ones come early, and encoding the others again only costs time.
+REMEMBERED = 100_000
 
 
 class BytePairs:
@@ -116,26 +116,29 @@ class BytePairs:
 
 
 class Remembered(dict):
-    """Results by key, computed when missing and forgotten when there are too many."""
+    """Results by key, computed when missing and kept until there are ``most``."""
 
     def __init__(self, make, most: int = REMEMBERED):
         super().__init__()
         self.make, self.most = make, most
 
     def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if len(self) < self.most:
+            self[key] = value
         return value
 
 
 @lru_cache(2)
-def loaded(path: str, pattern: str) -> tuple[BytePairs, Remembered, Remembered]:
-    """The vocabulary, and the memories of encoded and decoded matches, once for each worker process."""
+def loaded(path: str, pattern: str, most: int = REMEMBERED) -> tuple[BytePairs, Remembered]:
+    """The vocabulary, and the memory of matches with their ids and the bytes these decode to, once for each worker process."""
     pairs = BytePairs(path, pattern)
-    encoded = Remembered(lambda m: ",".join(map(str, pairs.encode_match(m.encode("utf-8", "surrogatepass")))))
-    decoded = Remembered(lambda ids: pairs.decode([int(i) for i in ids.split(",")]))
-    return pairs, encoded, decoded
+
+    def both(match: str) -> tuple[str, bytes]:
+        ids = pairs.encode_match(match.encode("utf-8", "surrogatepass"))
+        return ",".join(map(str, ids)), pairs.decode(ids)
+
+    return pairs, Remembered(both, most)
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -144,9 +147,9 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     source = id_and_text(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, encoded, _ = loaded(path, pattern)
+        pairs, matches = loaded(path, pattern)
         for batch in slices(batches, most=1 << 20):
-            rows = [[int(i) for m in pairs.find(t.as_py() or "") for i in encoded[m].split(",")] for t in batch.column("text")]
+            rows = [[int(i) for m in pairs.find(t.as_py() or "") for i in matches[m][0].split(",")] for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids array<int>")
@@ -157,7 +160,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     kind = encoded.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, _, _ = loaded(path, pattern)
+        pairs, _ = loaded(path, pattern)
         for batch in batches:
             rows = [pairs.decode(i or []) for i in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.binary())], ["doc_id", "data"])
@@ -165,24 +168,24 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, data binary")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, most: int = REMEMBERED) -> DataFrame:
     """Encode, decode the ids again and keep digests: doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes.
 
     One row per row of ``docs``; a null or empty text has no tokens.  Matches that repeat are encoded once for each
-    worker.  Repeated rows give repeated rows, an empty table none; other columns are ignored.
+    worker, up to ``most`` of them (about 330 bytes each).  Repeated rows give repeated rows, an empty table none; other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
     source = id_and_text(docs)
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, encoded, decoded = loaded(path, pattern)
+        pairs, matches = loaded(path, pattern, most)
         digest = lambda data: hashlib.sha256(data).hexdigest()
         for batch in slices(batches, most=1 << 20):
             rows = []
             for t in batch.column("text"):
-                parts = [encoded[m] for m in pairs.find(t.as_py() or "")]
-                ids, data = ",".join(parts), b"".join([decoded[p] for p in parts])
+                found = [matches[m] for m in pairs.find(t.as_py() or "")]
+                ids, data = ",".join([f[0] for f in found]), b"".join([f[1] for f in found])
                 rows.append((ids.count(",") + 1 if ids else 0, digest(ids.encode()), digest(data), len(data)))
             n, a, b, size = zip(*rows)
             yield pa.RecordBatch.from_arrays(

@@ -4,6 +4,9 @@ At a shingle similarity of 0.8 about 15 % of SimHash bits differ, too many for o
 ``tables`` independent short SimHash keys, and each key emits its variants within one bit, so two texts meet in
 a table if their keys there differ in at most two bits: with 16 tables of 24 bits 99 % of pairs at 0.8, more above.
 Texts that meet are compared by a 64-bit SimHash where they meet, and what passes by its shingles.
+
+The first few tables run ahead with one link for each text and find the bulk of every large group.  All tables then
+only link texts that are not in one group yet, so a group of many near copies costs links in proportion to its size.
 """
 
 from collections.abc import Iterator
@@ -60,38 +63,67 @@ def marked(docs: DataFrame, shingle: int, tables: int, key_bits: int) -> DataFra
     return source.mapInArrow(run, f"doc_id {kind}, digest string, fp long, keys array<long>")
 
 
+def middles(fp: np.ndarray, begins: np.ndarray, block: int = 1 << 17) -> np.ndarray:
+    """For each run of fingerprints (``begins`` are the runs' first places) the place closest to the run's bitwise majority.
+
+    Copies that were changed independently stand around their original, and its fingerprint is about their majority.
+    """
+    out = np.empty(len(begins), np.int64)
+    ends = np.r_[begins[1:], len(fp)]
+    a = 0
+    while a < len(begins):
+        b = max(a + 1, int(np.searchsorted(ends, begins[a] + block, side="right")))
+        first, last = begins[a], ends[b - 1]
+        part, starts, sizes = fp[first:last], begins[a:b] - first, ends[a:b] - begins[a:b]
+        bits = np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+        major = np.packbits(ones * 2 >= sizes[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
+        far = np.bitwise_count(part ^ np.repeat(major, sizes)).astype(np.int64)
+        out[a:b] = np.minimum.reduceat((far << 40) + np.arange(len(part)), starts) & ((1 << 40) - 1)
+        out[a:b] += first
+        a = b
+    return out
+
+
 def _meet(key_bits: int, close: int, chunk: int = CHUNK):
     low_bits = key_bits - PREFIX
     one = np.array(flips(low_bits, 1), np.uint64)
     low_mask = np.uint64((1 << low_bits) - 1)
 
-    def pairs(dest: np.ndarray, key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(dest: np.ndarray, key: np.ndarray, fp: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
         lead = key >> np.uint64(low_bits)
         near = lead == (dest & np.uint64((1 << PREFIX) - 1))  # no bit was used on the way here
         base = (dest << np.uint64(low_bits)) | (key & low_mask)
         v = np.concatenate([(base[near][:, None] ^ one[None, :]).ravel(), base[~near]])
-        own = np.concatenate([np.repeat(fp[near], len(one)), fp[~near]])
-        order = np.lexsort((own, v))
+        at = np.arange(len(fp))
+        own = np.concatenate([np.repeat(at[near], len(one)), at[~near]])
+        order = np.lexsort((fp[own], v))
         v, own = v[order], own[order]
-        keep = np.r_[True, (v[1:] != v[:-1]) | (own[1:] != own[:-1])]
-        v, own = v[keep], own[keep]
-        # The first of a variant leads: who is close to it is linked to it, the rest go on among themselves.
+        # The middle of a variant's texts leads: who is close to it is linked to it, the rest go on among themselves.
         found = []
         while len(v):
             first = np.r_[True, v[1:] != v[:-1]]
-            group = np.cumsum(first) - 1
-            lone = np.bincount(group) == 1
-            leader = own[np.flatnonzero(first)[group]]
-            linked = ~first & (np.bitwise_count(own ^ leader) <= close)
-            found.append(np.stack([own[linked], leader[linked]]))
-            rest = ~first & ~linked & ~lone[group]
+            run = np.cumsum(first) - 1
+            some = (np.bincount(run) > 1)[run]
+            v, own, first = v[some], own[some], first[some]
+            if not len(v):
+                break
+            run = np.cumsum(first) - 1
+            leads = middles(fp[own], np.flatnonzero(first))
+            leader = own[leads[run]]
+            leading = np.zeros(len(v), bool)
+            leading[leads] = True
+            close_by = np.bitwise_count(fp[own] ^ fp[leader]) <= close
+            linked = close_by & ~leading & ((group[own] != group[leader]) | (group[own] == 0))
+            found.append(np.stack([fp[own[linked]], fp[leader[linked]]]))
+            rest = ~leading & ~close_by
             v, own = v[rest], own[rest]
         both = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.uint64)
         if both.shape[1]:
             yield pa.RecordBatch.from_arrays([pa.array(both[0].view(np.int64)), pa.array(both[1].view(np.int64))], ["src", "dst"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64) for _ in range(3)]
+        held = [np.zeros(0, np.int64) for _ in range(4)]
         for batch in batches:
             held = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
             if len(held[0]) * 3 > chunk // 8:
@@ -106,27 +138,28 @@ def _meet(key_bits: int, close: int, chunk: int = CHUNK):
 
 
 def candidates(classes: DataFrame, key_bits: int, close: int) -> DataFrame:
-    """Distinct links (src, dst) between fingerprints whose keys meet in a table and that differ in ``close`` bits at most.
+    """Links (src, dst) between fingerprints of different groups whose keys meet in a table and that differ in ``close`` bits at most.
 
-    ``classes`` has one row (fp, keys) per fingerprint.  Rows travel to (table, leading key bits) and are sorted there
-    by destination; within a destination the next key bits order them, so a task holds one destination at a time.
+    ``classes`` has one row (fp, keys, group) per fingerprint, with group 0 for none yet.  Rows travel to (table, leading key bits) and are sorted
+    there by destination, so a task holds one destination at a time.
     """
     low = key_bits - PREFIX
-    sent = classes.select("fp", F.posexplode("keys").alias("table", "key")).select(
-        "fp", "key", "table", F.explode(F.lit(flips(PREFIX, 1))).alias("m")
+    sent = classes.select("fp", "group", F.posexplode("keys").alias("table", "key")).select(
+        "fp", "group", "key", "table", F.explode(F.lit(flips(PREFIX, 1))).alias("m")
     )
     dest = F.shiftleft(F.col("table").cast("bigint"), PREFIX) + F.shiftright("key", low).bitwiseXOR(F.col("m").cast("bigint"))
     return (
-        sent.select(dest.alias("dest"), "key", "fp").repartition(F.col("dest")).sortWithinPartitions("dest")
-        .mapInArrow(_meet(key_bits, close), "src long, dst long").distinct()
+        sent.select(dest.alias("dest"), "key", "fp", "group").repartition(F.col("dest")).sortWithinPartitions("dest")
+        .mapInArrow(_meet(key_bits, close), "src long, dst long")
     )
 
 
 def verified(links: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """The links (src, dst) between digests whose texts' shingle sets have a Jaccard similarity of ``least`` or more."""
+    """The links (src, dst, src_fp, dst_fp) between digests whose texts' shingle sets have a Jaccard similarity of ``least`` or more."""
+    names = ["src", "dst", "src_fp", "dst_fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "a", 2 << 20):
+        for batch in slices(batches, "a", 1 << 20):
             good, last, left = [], None, set()
             for s, a, b in zip(batch.column("dst"), batch.column("a"), batch.column("b")):
                 if s != last:
@@ -134,34 +167,83 @@ def verified(links: DataFrame, texts: DataFrame, shingle: int, least: float) ->
                 right = set(shingle_hashes(b.as_py(), shingle).tolist())
                 both = len(left & right)
                 good.append(both >= least * (len(left) + len(right) - both))
-            yield batch.select(["src", "dst"]).filter(pa.array(good, pa.bool_()))
+            yield batch.select(names).filter(pa.array(good, pa.bool_()))
 
     a = texts.select(F.col("digest").alias("dst"), F.col("text").alias("a"))
     b = texts.select(F.col("digest").alias("src"), F.col("text").alias("b"))
-    return links.join(b, "src").join(a, "dst").select("src", "dst", "a", "b").mapInArrow(run, "src string, dst string")
+    return links.join(b, "src").join(a, "dst").select(*names, "a", "b").mapInArrow(run, "src string, dst string, src_fp long, dst_fp long")
 
 
-def groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, tables: int = 16, key_bits: int = KEY_BITS, close: int = 18) -> tuple[DataFrame, DataFrame]:
-    """The marked rows, and (digest, group) for every text that is similar to another one."""
-    rows = materialize(marked(docs, shingle, tables, key_bits))
-    classes = materialize(rows.groupBy("fp").agg(F.min("digest").alias("low"), F.first("keys").alias("keys")))
-    links = candidates(classes.select("fp", "keys"), key_bits, close)
-    low = classes.select(F.col("fp"), F.col("low"))
-    of_links = (
-        links.join(low.withColumnsRenamed({"fp": "src", "low": "a"}), "src").join(low.withColumnsRenamed({"fp": "dst", "low": "b"}), "dst")
-        .select(F.col("a").alias("src"), F.col("b").alias("dst"))
+#: Bits of the tables that tell rows that matter for a join from those that do not.
+SLOTS = 1 << 22
+
+
+def in_slots(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``df`` with ``_in``: false only for rows whose ``key`` is certainly not among those of ``wanted``.
+
+    The wanted keys set bits in a table of SLOTS bits, at most 129 rows of 4 KB, which is what is broadcast.
+    """
+    slot = F.pmod(F.xxhash64(key), F.lit(SLOTS)) + 1
+    bits = wanted.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("_bits")
     )
-    same = rows.select("fp", "digest").distinct().join(low, "fp").where("digest != low").select(
-        F.col("digest").alias("src"), F.col("low").alias("dst")
+    marked = df.withColumn("_slot", slot).withColumn("_bucket", F.bitmap_bucket_number("_slot")).join(F.broadcast(bits), "_bucket", "left")
+    hit = F.expr(
+        "shiftright(cast(conv(hex(substring(_bits, cast(bitmap_bit_position(_slot) div 8 as int) + 1, 1)), 16, 10) as int), "
+        "cast(bitmap_bit_position(_slot) % 8 as int)) & 1 = 1"
     )
-    edges = materialize(of_links.unionByName(same))
-    needed = edges.select(F.col("src").alias("digest")).unionByName(edges.select(F.col("dst").alias("digest"))).distinct()
+    return marked.withColumn("_in", F.coalesce(hit, F.lit(False))).drop("_slot", "_bucket", "_bits")
+
+
+def groups(
+    docs: DataFrame, shingle: int = 5, least: float = 0.8, tables: int = 16, key_bits: int = KEY_BITS, close: int = 18,
+    far: float = 0.21, ahead: int = 4,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The marked rows, (fp, component) of the linked fingerprints, and the digests that do not belong with their fingerprint.
+
+    Candidates differ in at most ``close`` of 64 bits and in at most the share ``far`` of all their keys' bits.  The
+    smallest digest stands for a fingerprint; other texts of that fingerprint are compared with it.
+    """
+    rows = materialize(marked(docs, shingle, tables, key_bits))
+    classes = materialize(rows.groupBy("fp").agg(F.min("digest").alias("low"), F.first("keys").alias("keys")))
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    texts = materialize(
-        docs.select(F.md5(text).alias("digest"), text.alias("text")).join(needed, "digest", "left_semi").dropDuplicates(["digest"])
+
+    def similar(edges: DataFrame) -> DataFrame:
+        edges = materialize(edges)
+        needed = edges.select(F.col("src").alias("digest")).unionByName(edges.select(F.col("dst").alias("digest"))).distinct()
+        some = in_slots(docs.select(F.md5(text).alias("digest"), text.alias("text")), "digest", needed).where("_in")
+        texts = materialize(some.select("digest", "text").join(needed, "digest", "left_semi").dropDuplicates(["digest"]))
+        return materialize(verified(edges, texts, shingle, least))
+
+    def of_texts(links: DataFrame) -> DataFrame:
+        ends = links
+        for end in ("src", "dst"):
+            ends = ends.join(classes.select(F.col("fp").alias(end), F.col("low").alias(f"{end}_low"), F.col("keys").alias(f"{end}_keys")), end)
+        apart = F.aggregate(
+            F.zip_with("src_keys", "dst_keys", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x
+        )
+        return ends.where(apart <= far * tables * key_bits).select(
+            F.col("src_low").alias("src"), F.col("dst_low").alias("dst"), F.col("src").alias("src_fp"), F.col("dst").alias("dst_fp")
+        )
+
+    same = materialize(
+        rows.select("fp", "digest").distinct().join(classes.select("fp", "low"), "fp").where("digest != low").select(
+            F.col("digest").alias("src"), F.col("low").alias("dst"), F.col("fp").alias("src_fp"), F.col("fp").alias("dst_fp")
+        )
     )
-    similar = materialize(verified(edges, texts, shingle, least))
-    return rows, component_of(similar).select(F.col("node").alias("digest"), F.col("component").alias("group"))
+    none = F.lit(0).cast("bigint")
+    first = candidates(classes.select("fp", F.slice("keys", 1, ahead).alias("keys"), none.alias("group")), key_bits, close)
+    nearest = F.min_by("dst", F.struct(F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))), "dst"))
+    bulk = similar(of_texts(first.groupBy("src").agg(nearest.alias("dst"))).unionByName(same))
+    # A text's group so far is the one it was linked to; those linked to the same one need no links among themselves.
+    linked = bulk.where("src_fp != dst_fp")
+    mine = linked.groupBy(F.col("src_fp").alias("fp")).agg(F.xxhash64(F.min("dst_fp")).alias("group"))
+    hubs = linked.select(F.col("dst_fp").alias("fp")).distinct().join(mine, "fp", "left_anti").select("fp", F.xxhash64("fp").alias("group"))
+    grouped = classes.join(mine.unionByName(hubs), "fp", "left").select("fp", "keys", F.coalesce("group", none).alias("group"))
+    rest = similar(of_texts(candidates(grouped, key_bits, close).distinct()))
+    edges = linked.unionByName(rest).select(F.col("src_fp").alias("src"), F.col("dst_fp").alias("dst"))
+    loose = same.join(bulk.where("src_fp = dst_fp").select("src"), "src", "left_anti").select(F.col("src").alias("digest"))
+    return rows, component_of(edges).select(F.col("node").alias("fp"), "component"), loose
 
 
 def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
@@ -172,13 +254,21 @@ def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
     texts of fewer words are one shingle.  Rows without doc_id stay only if no member of their group has one, and of
     repeated rows one stays.
     """
-    rows, similar = groups(docs, **options)
+    rows, components, loose = groups(docs, **options)
     row_key = lambda doc_id, digest: F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), digest)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "digest")
-    stay = (
-        rows.join(similar, "digest", "left").groupBy(F.coalesce("group", "digest").alias("g")).agg(F.min(order).alias("o"))
-        .select(row_key(F.col("o.doc_id"), F.col("o.digest")).alias("_stays"))
+    keyed = materialize(
+        rows.join(components, "fp", "left").join(loose.withColumn("_alone", F.lit(True)), "digest", "left").select(
+            row_key(F.col("doc_id"), F.col("digest")).alias("_stays"), order.alias("o"),
+            F.when(F.col("_alone"), F.col("digest")).otherwise(F.coalesce("component", "fp").cast("string")).alias("g"),
+        )
     )
+    stay = materialize(keyed.groupBy("g").agg(F.min("o").alias("o")).select(row_key(F.col("o.doc_id"), F.col("o.digest")).alias("_stays")))
+    repeated = keyed.groupBy("_stays").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_stays")
+    in_question = materialize(keyed.select("_stays").join(stay, "_stays", "left_anti").unionByName(repeated))
     digest = F.md5(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    kept = docs.withColumn("_stays", row_key(docs["doc_id"], digest)).join(stay, "_stays", "left_semi")
-    return kept.dropDuplicates(["_stays"]).select(*docs.columns)
+    # Only rows that may go or are repeated are shuffled; the bulk stays where it is.
+    all_rows = in_slots(docs.withColumn("_stays", row_key(docs["doc_id"], digest)), "_stays", in_question)
+    settled = all_rows.where("NOT _in").select(*docs.columns)
+    asked = all_rows.where("_in").join(stay, "_stays", "left_semi").dropDuplicates(["_stays"]).select(*docs.columns)
+    return settled.unionByName(asked)
