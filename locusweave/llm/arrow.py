@@ -1,5 +1,6 @@
 """Small helpers for tasks that work on Arrow batches of texts."""
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,3 +39,16 @@ def id_and_text(docs: DataFrame) -> DataFrame:
 def words_of(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` as UTF-8."""
     return text.encode("utf-8", "surrogatepass").split() if text else []
+
+
+def kept_by_worker(key: tuple, make):
+    """What ``make()`` gave for ``key`` in this worker process; its last two results outlive the tasks.
+
+    They are held by the interpreter, as functions sent to a task bring module globals of their own.
+    """
+    kept = sys.__dict__.setdefault("_locusweave_kept", {})
+    if key not in kept:
+        while len(kept) >= 2:
+            kept.pop(next(iter(kept)))
+        kept[key] = make()
+    return kept[key]

@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from locusweave.llm.arrow import bounded_batches, id_and_text, slices
+from locusweave.llm.arrow import bounded_batches, id_and_text, kept_by_worker, slices
 
 LEAF = 48
 #: Matches a worker remembers; frequent ones come early, and encoding the others again only costs time.
@@ -129,9 +129,12 @@ class Remembered(dict):
         return value
 
 
-@lru_cache(2)
 def loaded(path: str, pattern: str, most: int = REMEMBERED) -> tuple[BytePairs, Remembered]:
     """The vocabulary, and the memory of matches with their ids and the bytes these decode to, once for each worker process."""
+    return kept_by_worker(("bpe", path, pattern, most), lambda: _load(path, pattern, most))
+
+
+def _load(path: str, pattern: str, most: int) -> tuple[BytePairs, Remembered]:
     pairs = BytePairs(path, pattern)
 
     def both(match: str) -> tuple[str, bytes]:

@@ -9,7 +9,6 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusweave.llm.arrow import bounded_batches, id_and_text, slices
+from locusweave.llm.arrow import bounded_batches, id_and_text, kept_by_worker, slices
 from locusweave.llm.rans import Table, decode_block, encode_block
 from locusweave.session import work_folder
 
@@ -122,9 +121,8 @@ class Pieces:
         return np.concatenate(parts) if parts else np.zeros(0, np.uint32), np.array([len(p) for p in parts], np.int64)
 
 
-@lru_cache(1)
 def pieces_of(path: str) -> Pieces:
-    return Pieces(path)
+    return kept_by_worker(("pieces", path), lambda: Pieces(path))
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
