@@ -41,7 +41,10 @@ def long_simhash(hashes: np.ndarray, bits: int) -> int:
 
 
 def marked(docs: DataFrame, shingle: int, tables: int, key_bits: int) -> DataFrame:
-    """(doc_id, digest, fp, keys) for every row; a null text counts as an empty one."""
+    """(doc_id, digest, fp, keys) for every row; a null text counts as an empty one.
+
+    Keys and fingerprint are those of the set of shingles, as is the similarity: how often a shingle is repeated is left out.
+    """
     bounded_batches(docs.sparkSession)
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     source = docs.select("doc_id", text.alias("text"), F.md5(text).alias("digest"))
@@ -51,7 +54,7 @@ def marked(docs: DataFrame, shingle: int, tables: int, key_bits: int) -> DataFra
         for batch in slices(batches):
             fps, keys = [], []
             for t in batch.column("text"):
-                h = shingle_hashes(t.as_py(), shingle)
+                h = np.unique(shingle_hashes(t.as_py(), shingle))
                 fps.append(majority(h))
                 wide = long_simhash(h, tables * key_bits)
                 keys.append([(wide >> (key_bits * k)) & ((1 << key_bits) - 1) for k in range(tables)])

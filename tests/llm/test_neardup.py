@@ -76,3 +76,18 @@ def test_one_of_each_group(docs):
 
 def test_empty_table(docs):
     assert neardup.one_of_each_group(docs[1].limit(0)).count() == 0
+
+
+def kept(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return sorted(r.doc_id for r in neardup.one_of_each_group(df).collect())
+
+
+def test_repeat_counts_do_not_matter(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    texts = []
+    for _ in range(20):
+        body, line = [word() for _ in range(300)], [word() for _ in range(12)]
+        texts += [" ".join(body + line * 2), " ".join(body + line * 30)]
+    assert kept(spark, texts) == list(range(0, 40, 2))
