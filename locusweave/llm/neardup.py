@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,9 +42,10 @@ def long_simhash(hashes: np.ndarray, bits: int) -> int:
 
 
 def marked(docs: DataFrame, shingle: int, tables: int, key_bits: int) -> DataFrame:
-    """(doc_id, digest, fp, keys) for every row; a null text counts as an empty one.
+    """(doc_id, digest, set, fp, keys) for every row; a null text counts as an empty one.
 
-    Keys and fingerprint are those of the set of shingles, as is the similarity: how often a shingle is repeated is left out.
+    ``set`` is a digest of the set of shingles.  Keys and fingerprint are those of the set, as is the similarity: how
+    often a shingle is repeated is left out.
     """
     bounded_batches(docs.sparkSession)
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
@@ -52,18 +54,22 @@ def marked(docs: DataFrame, shingle: int, tables: int, key_bits: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            fps, keys = [], []
+            sets, fps, keys = [], [], []
             for t in batch.column("text"):
                 h = np.unique(shingle_hashes(t.as_py(), shingle))
+                sets.append(xxhash.xxh3_128_hexdigest(h.tobytes()))
                 fps.append(majority(h))
                 wide = long_simhash(h, tables * key_bits)
                 keys.append([(wide >> (key_bits * k)) & ((1 << key_bits) - 1) for k in range(tables)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("digest"), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "digest", "fp", "keys"],
+                [
+                    batch.column("doc_id"), batch.column("digest"), pa.array(sets, pa.string()), pa.array(fps, pa.int64()),
+                    pa.array(keys, pa.list_(pa.int64())),
+                ],
+                ["doc_id", "digest", "set", "fp", "keys"],
             )
 
-    return source.mapInArrow(run, f"doc_id {kind}, digest string, fp long, keys array<long>")
+    return source.mapInArrow(run, f"doc_id {kind}, digest string, set string, fp long, keys array<long>")
 
 
 def middles(fp: np.ndarray, begins: np.ndarray, block: int = 1 << 17) -> np.ndarray:
@@ -93,14 +99,14 @@ def _meet(key_bits: int, close: int, chunk: int = CHUNK):
     one = np.array(flips(low_bits, 1), np.uint64)
     low_mask = np.uint64((1 << low_bits) - 1)
 
-    def pairs(dest: np.ndarray, key: np.ndarray, fp: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(dest: np.ndarray, key: np.ndarray, node: np.ndarray, fp: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
         lead = key >> np.uint64(low_bits)
         near = lead == (dest & np.uint64((1 << PREFIX) - 1))  # no bit was used on the way here
         base = (dest << np.uint64(low_bits)) | (key & low_mask)
         v = np.concatenate([(base[near][:, None] ^ one[None, :]).ravel(), base[~near]])
         at = np.arange(len(fp))
         own = np.concatenate([np.repeat(at[near], len(one)), at[~near]])
-        order = np.lexsort((fp[own], v))
+        order = np.lexsort((node[own], fp[own], v))
         v, own = v[order], own[order]
         # The middle of a variant's texts leads: who is close to it is linked to it, the rest go on among themselves.
         found = []
@@ -116,17 +122,18 @@ def _meet(key_bits: int, close: int, chunk: int = CHUNK):
             leader = own[leads[run]]
             leading = np.zeros(len(v), bool)
             leading[leads] = True
-            close_by = np.bitwise_count(fp[own] ^ fp[leader]) <= close
+            bits = np.bitwise_count(fp[own] ^ fp[leader])
+            close_by = bits <= close
             linked = close_by & ~leading & ((group[own] != group[leader]) | (group[own] == 0))
-            found.append(np.stack([fp[own[linked]], fp[leader[linked]]]))
+            found.append(np.stack([node[own[linked]], node[leader[linked]], bits[linked].astype(np.uint64)]))
             rest = ~leading & ~close_by
             v, own = v[rest], own[rest]
-        both = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.uint64)
+        both = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((3, 0), np.uint64)
         if both.shape[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(both[0].view(np.int64)), pa.array(both[1].view(np.int64))], ["src", "dst"])
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in both], ["src", "dst", "bits"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64) for _ in range(4)]
+        held = [np.zeros(0, np.int64) for _ in range(5)]
         for batch in batches:
             held = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
             if len(held[0]) * 3 > chunk // 8:
@@ -141,25 +148,25 @@ def _meet(key_bits: int, close: int, chunk: int = CHUNK):
 
 
 def candidates(classes: DataFrame, key_bits: int, close: int) -> DataFrame:
-    """Links (src, dst) between fingerprints of different groups whose keys meet in a table and that differ in ``close`` bits at most.
+    """Links (src, dst) between nodes of different groups whose keys meet in a table and whose fingerprints differ in ``close`` bits at most.
 
-    ``classes`` has one row (fp, keys, group) per fingerprint, with group 0 for none yet.  Rows travel to (table, leading key bits) and are sorted
+    ``classes`` has one row (node, fp, keys, group) per set of shingles, with group 0 for none yet.  Rows travel to (table, leading key bits) and are sorted
     there by destination, so a task holds one destination at a time.
     """
     low = key_bits - PREFIX
-    sent = classes.select("fp", "group", F.posexplode("keys").alias("table", "key")).select(
-        "fp", "group", "key", "table", F.explode(F.lit(flips(PREFIX, 1))).alias("m")
+    sent = classes.select("node", "fp", "group", F.posexplode("keys").alias("table", "key")).select(
+        "node", "fp", "group", "key", "table", F.explode(F.lit(flips(PREFIX, 1))).alias("m")
     )
     dest = F.shiftleft(F.col("table").cast("bigint"), PREFIX) + F.shiftright("key", low).bitwiseXOR(F.col("m").cast("bigint"))
     return (
-        sent.select(dest.alias("dest"), "key", "fp", "group").repartition(F.col("dest")).sortWithinPartitions("dest")
-        .mapInArrow(_meet(key_bits, close), "src long, dst long")
+        sent.select(dest.alias("dest"), "key", "node", "fp", "group").repartition(F.col("dest")).sortWithinPartitions("dest")
+        .mapInArrow(_meet(key_bits, close), "src long, dst long, bits long")
     )
 
 
 def verified(links: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """The links (src, dst, src_fp, dst_fp) between digests whose texts' shingle sets have a Jaccard similarity of ``least`` or more."""
-    names = ["src", "dst", "src_fp", "dst_fp"]
+    """The links (src, dst, src_node, dst_node) between digests whose texts' shingle sets have a Jaccard similarity of ``least`` or more."""
+    names = ["src", "dst", "src_node", "dst_node"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "a", 1 << 20):
@@ -174,7 +181,7 @@ def verified(links: DataFrame, texts: DataFrame, shingle: int, least: float) ->
 
     a = texts.select(F.col("digest").alias("dst"), F.col("text").alias("a"))
     b = texts.select(F.col("digest").alias("src"), F.col("text").alias("b"))
-    return links.join(b, "src").join(a, "dst").select(*names, "a", "b").mapInArrow(run, "src string, dst string, src_fp long, dst_fp long")
+    return links.join(b, "src").join(a, "dst").select(*names, "a", "b").mapInArrow(run, "src string, dst string, src_node long, dst_node long")
 
 
 #: Bits of the tables that tell rows that matter for a join from those that do not.
@@ -201,14 +208,18 @@ def in_slots(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
 def groups(
     docs: DataFrame, shingle: int = 5, least: float = 0.8, tables: int = 16, key_bits: int = KEY_BITS, close: int = 18,
     far: float = 0.21, ahead: int = 4,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The marked rows, (fp, component) of the linked fingerprints, and the digests that do not belong with their fingerprint.
+) -> tuple[DataFrame, DataFrame]:
+    """The marked rows and (set, component) of the linked sets of shingles.
 
-    Candidates differ in at most ``close`` of 64 bits and in at most the share ``far`` of all their keys' bits.  The
-    smallest digest stands for a fingerprint; other texts of that fingerprint are compared with it.
+    Texts with the same set are alike whatever else tells them apart, so the one with the smallest digest stands for
+    them.  Candidates differ in at most ``close`` of 64 bits and in at most the share ``far`` of all their keys' bits.
     """
     rows = materialize(marked(docs, shingle, tables, key_bits))
-    classes = materialize(rows.groupBy("fp").agg(F.min("digest").alias("low"), F.first("keys").alias("keys")))
+    # Node numbers are exact names of the sets: the table is written once and read from then on.
+    classes = materialize(
+        rows.groupBy("set").agg(F.min("digest").alias("low"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+        .withColumn("node", F.monotonically_increasing_id() + 1)
+    )
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
 
     def similar(edges: DataFrame) -> DataFrame:
@@ -221,32 +232,24 @@ def groups(
     def of_texts(links: DataFrame) -> DataFrame:
         ends = links
         for end in ("src", "dst"):
-            ends = ends.join(classes.select(F.col("fp").alias(end), F.col("low").alias(f"{end}_low"), F.col("keys").alias(f"{end}_keys")), end)
+            ends = ends.join(classes.select(F.col("node").alias(end), F.col("low").alias(f"{end}_low"), F.col("keys").alias(f"{end}_keys")), end)
         apart = F.aggregate(
             F.zip_with("src_keys", "dst_keys", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x
         )
         return ends.where(apart <= far * tables * key_bits).select(
-            F.col("src_low").alias("src"), F.col("dst_low").alias("dst"), F.col("src").alias("src_fp"), F.col("dst").alias("dst_fp")
+            F.col("src_low").alias("src"), F.col("dst_low").alias("dst"), F.col("src").alias("src_node"), F.col("dst").alias("dst_node")
         )
 
-    same = materialize(
-        rows.select("fp", "digest").distinct().join(classes.select("fp", "low"), "fp").where("digest != low").select(
-            F.col("digest").alias("src"), F.col("low").alias("dst"), F.col("fp").alias("src_fp"), F.col("fp").alias("dst_fp")
-        )
-    )
     none = F.lit(0).cast("bigint")
-    first = candidates(classes.select("fp", F.slice("keys", 1, ahead).alias("keys"), none.alias("group")), key_bits, close)
-    nearest = F.min_by("dst", F.struct(F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))), "dst"))
-    bulk = similar(of_texts(first.groupBy("src").agg(nearest.alias("dst"))).unionByName(same))
+    first = candidates(classes.select("node", "fp", F.slice("keys", 1, ahead).alias("keys"), none.alias("group")), key_bits, close)
+    linked = similar(of_texts(first.groupBy("src").agg(F.min_by("dst", F.struct("bits", "dst")).alias("dst"))))
     # A text's group so far is the one it was linked to; those linked to the same one need no links among themselves.
-    linked = bulk.where("src_fp != dst_fp")
-    mine = linked.groupBy(F.col("src_fp").alias("fp")).agg(F.xxhash64(F.min("dst_fp")).alias("group"))
-    hubs = linked.select(F.col("dst_fp").alias("fp")).distinct().join(mine, "fp", "left_anti").select("fp", F.xxhash64("fp").alias("group"))
-    grouped = classes.join(mine.unionByName(hubs), "fp", "left").select("fp", "keys", F.coalesce("group", none).alias("group"))
-    rest = similar(of_texts(candidates(grouped, key_bits, close).distinct()))
-    edges = linked.unionByName(rest).select(F.col("src_fp").alias("src"), F.col("dst_fp").alias("dst"))
-    loose = same.join(bulk.where("src_fp = dst_fp").select("src"), "src", "left_anti").select(F.col("src").alias("digest"))
-    return rows, component_of(edges).select(F.col("node").alias("fp"), "component"), loose
+    mine = linked.groupBy(F.col("src_node").alias("node")).agg(F.min("dst_node").alias("group"))
+    hubs = linked.select(F.col("dst_node").alias("node")).distinct().join(mine, "node", "left_anti").withColumn("group", F.col("node"))
+    grouped = classes.join(mine.unionByName(hubs), "node", "left").select("node", "fp", "keys", F.coalesce("group", none).alias("group"))
+    rest = similar(of_texts(candidates(grouped, key_bits, close).select("src", "dst").distinct()))
+    edges = linked.unionByName(rest).select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst"))
+    return rows, classes.select("set", "node").join(component_of(edges), "node").select("set", "component")
 
 
 def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
@@ -257,13 +260,13 @@ def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
     texts of fewer words are one shingle.  Rows without doc_id stay only if no member of their group has one, and of
     repeated rows one stays.
     """
-    rows, components, loose = groups(docs, **options)
+    rows, components = groups(docs, **options)
     row_key = lambda doc_id, digest: F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), digest)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "digest")
     keyed = materialize(
-        rows.join(components, "fp", "left").join(loose.withColumn("_alone", F.lit(True)), "digest", "left").select(
+        rows.join(components, "set", "left").select(
             row_key(F.col("doc_id"), F.col("digest")).alias("_stays"), order.alias("o"),
-            F.when(F.col("_alone"), F.col("digest")).otherwise(F.coalesce("component", "fp").cast("string")).alias("g"),
+            F.coalesce(F.col("component").cast("string"), "set").alias("g"),
         )
     )
     stay = materialize(keyed.groupBy("g").agg(F.min("o").alias("o")).select(row_key(F.col("o.doc_id"), F.col("o.digest")).alias("_stays")))

@@ -91,3 +91,25 @@ def test_repeat_counts_do_not_matter(spark):
         body, line = [word() for _ in range(300)], [word() for _ in range(12)]
         texts += [" ".join(body + line * 2), " ".join(body + line * 30)]
     assert kept(spark, texts) == list(range(0, 40, 2))
+
+
+def test_copies_beside_a_text_of_the_same_fingerprint(spark, monkeypatch):
+    """Copies that differ from the smallest text of their fingerprint are still compared with each other and with the rest."""
+    real, mixed = neardup.majority, neardup.mixed
+
+    def wide(hashes, bits):
+        return sum((real(mixed(hashes, j)) & 0xFFFFFFFFFFFFFFFF) << 64 * j for j in range(-(-bits // 64)))
+
+    monkeypatch.setattr(neardup, "long_simhash", wide)
+    monkeypatch.setattr(neardup, "majority", lambda hashes: 0)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    texts, want = [], []
+    for _ in range(12):
+        body = [word() for _ in range(100)]
+        want.append(len(texts))
+        for k in range(2):
+            copy = list(body)
+            copy[50 * k] = word()
+            texts.append(" ".join(copy))
+    assert kept(spark, texts) == want
