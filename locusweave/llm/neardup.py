@@ -6,7 +6,9 @@ a table if their keys there differ in at most two bits: with 16 tables of 24 bit
 Texts that meet are compared by a 64-bit SimHash where they meet, and what passes by its shingles.
 
 The first few tables run ahead with one link for each text and find the bulk of every large group.  All tables then
-only link texts that are not in one group yet, so a group of many near copies costs links in proportion to its size.
+only link texts that are not in one group yet, each to the text in the middle of those it meets, so a group of many near
+copies costs links in proportion to its size.  Last, all texts that meet, are in different groups and have not been
+compared are compared, so that no link depends on which text led.
 """
 
 from collections.abc import Iterator
@@ -94,7 +96,24 @@ def middles(fp: np.ndarray, begins: np.ndarray, block: int = 1 << 17) -> np.ndar
     return out
 
 
-def _meet(key_bits: int, close: int, chunk: int = CHUNK):
+def across(v: np.ndarray, group: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of all pairs with equal ``v`` and unequal ``group``, about ``most`` at a time; rows are sorted by both."""
+    new_v = np.r_[True, v[1:] != v[:-1]]
+    new_group = new_v | np.r_[True, group[1:] != group[:-1]]
+    ends = lambda new: np.r_[np.flatnonzero(new)[1:], len(v)][np.cumsum(new) - 1]
+    low, high = ends(new_group), ends(new_v)
+    upto = np.cumsum(high - low)
+    a = 0
+    while a < len(v):
+        done = upto[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(upto, done + most, side="right")))
+        n = (high - low)[a:b]
+        i = np.repeat(np.arange(a, b), n)
+        yield i, low[i] + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        a = b
+
+
+def _meet(key_bits: int, close: int, everyone: bool = False, chunk: int = CHUNK):
     low_bits = key_bits - PREFIX
     one = np.array(flips(low_bits, 1), np.uint64)
     low_mask = np.uint64((1 << low_bits) - 1)
@@ -106,6 +125,9 @@ def _meet(key_bits: int, close: int, chunk: int = CHUNK):
         v = np.concatenate([(base[near][:, None] ^ one[None, :]).ravel(), base[~near]])
         at = np.arange(len(fp))
         own = np.concatenate([np.repeat(at[near], len(one)), at[~near]])
+        if everyone:
+            yield from all_pairs(v, own, (dest >> np.uint64(PREFIX) << np.uint64(key_bits)) | key, node, fp, group)
+            return
         order = np.lexsort((node[own], fp[own], v))
         v, own = v[order], own[order]
         # The middle of a variant's texts leads: who is close to it is linked to it, the rest go on among themselves.
@@ -132,6 +154,20 @@ def _meet(key_bits: int, close: int, chunk: int = CHUNK):
         if both.shape[1]:
             yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in both], ["src", "dst", "bits"])
 
+    def all_pairs(v, own, whole_key, node, fp, group) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((group[own], v))
+        v, own = v[order], own[order]
+        flip = v ^ whole_key[own]
+        for i, j in across(v, group[own]):
+            x, y, a, b = flip[i], flip[j], own[i], own[j]
+            # Keys that meet have several common variants; the pair counts at one of them.
+            here = np.where(x == y, x == 0, v[i] < v[i] ^ x ^ y)
+            ok = here & (np.bitwise_count(fp[a] ^ fp[b]) <= close)
+            a, b = node[a[ok]], node[b[ok]]
+            if len(a):
+                columns = [np.minimum(a, b), np.maximum(a, b), np.bitwise_count(fp[own[i[ok]]] ^ fp[own[j[ok]]])]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["src", "dst", "bits"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64) for _ in range(5)]
         for batch in batches:
@@ -147,10 +183,11 @@ def _meet(key_bits: int, close: int, chunk: int = CHUNK):
     return run
 
 
-def candidates(classes: DataFrame, key_bits: int, close: int) -> DataFrame:
+def candidates(classes: DataFrame, key_bits: int, close: int, everyone: bool = False) -> DataFrame:
     """Links (src, dst) between nodes of different groups whose keys meet in a table and whose fingerprints differ in ``close`` bits at most.
 
-    ``classes`` has one row (node, fp, keys, group) per set of shingles, with group 0 for none yet.  Rows travel to (table, leading key bits) and are sorted
+    ``classes`` has one row (node, fp, keys, group) per set of shingles, with group 0 for none yet.  ``everyone``
+    gives all such pairs (src < dst; each text has a group then), otherwise each text is linked to those that lead.  Rows travel to (table, leading key bits) and are sorted
     there by destination, so a task holds one destination at a time.
     """
     low = key_bits - PREFIX
@@ -160,7 +197,7 @@ def candidates(classes: DataFrame, key_bits: int, close: int) -> DataFrame:
     dest = F.shiftleft(F.col("table").cast("bigint"), PREFIX) + F.shiftright("key", low).bitwiseXOR(F.col("m").cast("bigint"))
     return (
         sent.select(dest.alias("dest"), "key", "node", "fp", "group").repartition(F.col("dest")).sortWithinPartitions("dest")
-        .mapInArrow(_meet(key_bits, close), "src long, dst long, bits long")
+        .mapInArrow(_meet(key_bits, close, everyone), "src long, dst long, bits long")
     )
 
 
@@ -223,7 +260,6 @@ def groups(
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
 
     def similar(edges: DataFrame) -> DataFrame:
-        edges = materialize(edges)
         needed = edges.select(F.col("src").alias("digest")).unionByName(edges.select(F.col("dst").alias("digest"))).distinct()
         some = in_slots(docs.select(F.md5(text).alias("digest"), text.alias("text")), "digest", needed).where("_in")
         texts = materialize(some.select("digest", "text").join(needed, "digest", "left_semi").dropDuplicates(["digest"]))
@@ -242,14 +278,25 @@ def groups(
 
     none = F.lit(0).cast("bigint")
     first = candidates(classes.select("node", "fp", F.slice("keys", 1, ahead).alias("keys"), none.alias("group")), key_bits, close)
-    linked = similar(of_texts(first.groupBy("src").agg(F.min_by("dst", F.struct("bits", "dst")).alias("dst"))))
+    ahead_of_all = materialize(of_texts(first.groupBy("src").agg(F.min_by("dst", F.struct("bits", "dst")).alias("dst"))))
+    linked = similar(ahead_of_all)
     # A text's group so far is the one it was linked to; those linked to the same one need no links among themselves.
     mine = linked.groupBy(F.col("src_node").alias("node")).agg(F.min("dst_node").alias("group"))
     hubs = linked.select(F.col("dst_node").alias("node")).distinct().join(mine, "node", "left_anti").withColumn("group", F.col("node"))
     grouped = classes.join(mine.unionByName(hubs), "node", "left").select("node", "fp", "keys", F.coalesce("group", none).alias("group"))
-    rest = similar(of_texts(candidates(grouped, key_bits, close).select("src", "dst").distinct()))
-    edges = linked.unionByName(rest).select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst"))
-    return rows, classes.select("set", "node").join(component_of(edges), "node").select("set", "component")
+    to_leaders = materialize(of_texts(candidates(grouped, key_bits, close).select("src", "dst").distinct()))
+    links = linked.unionByName(similar(to_leaders))
+    edges = lambda: links.select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst"))
+    # Whoever met only leaders that are no copies of it is compared with all others it meets outside its group.
+    grouped = classes.join(component_of(edges()).withColumnRenamed("component", "group"), "node", "left").select(
+        "node", "fp", "keys", F.coalesce("group", "node").alias("group")
+    )
+    compared = ahead_of_all.unionByName(to_leaders).select(
+        F.least("src_node", "dst_node").alias("src"), F.greatest("src_node", "dst_node").alias("dst")
+    )
+    met = candidates(grouped, key_bits, close, everyone=True).select("src", "dst").distinct()
+    links = links.unionByName(similar(materialize(of_texts(met.join(compared, ["src", "dst"], "left_anti")))))
+    return rows, classes.select("set", "node").join(component_of(edges()), "node").select("set", "component")
 
 
 def one_of_each_group(docs: DataFrame, **options) -> DataFrame:

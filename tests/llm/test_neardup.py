@@ -113,3 +113,14 @@ def test_copies_beside_a_text_of_the_same_fingerprint(spark, monkeypatch):
             copy[50 * k] = word()
             texts.append(" ".join(copy))
     assert kept(spark, texts) == want
+
+
+def test_twins_in_a_family_of_looser_relatives(spark):
+    """Texts of one template (similarity about 0.57) that come in pairs of about 0.85: no leader is similar to both twins' pairs."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    template, texts = [word() for _ in range(295)], []
+    for _ in range(120):
+        own = [word() for _ in range(109)]
+        texts += [" ".join(template + own), " ".join(template + own[:-32] + [word() for _ in range(32)])]
+    assert kept(spark, texts) == sorted(int(i) for i in brute_keep(list(enumerate(texts)))) == list(range(0, 240, 2))
