@@ -83,3 +83,28 @@ def test_runs_split_a_locus(spark):
     out, members = split_by_runs(a, loci, m, Fast(min_segment=500, bin_size=100))
     assert sorted((r["start"], r["end"], r["n_reads"]) for r in out.collect()) == [(0, 2000, 4), (2000, 4000, 4)]
     assert members.count() == 8
+
+
+def test_registered_modes_run_the_published_rounds(monkeypatch):
+    from unittest.mock import MagicMock
+
+    from locusweave.workload import modes
+
+    seen = {}
+
+    def fake(name, result):
+        def call(*args, **kw):
+            explore = [a for a in args if isinstance(a, Explore)]
+            seen.setdefault(name, []).append(explore[0].max_rounds if explore else kw.get("max_rounds"))
+            return result
+        return call
+
+    monkeypatch.setattr(modes, "tables", MagicMock())
+    monkeypatch.setattr(modes, "F", MagicMock())
+    monkeypatch.setattr(modes, "detect_adaptive", fake("adaptive", (MagicMock(), None, None)))
+    monkeypatch.setattr(modes, "detect_iterative", fake("iterative", (MagicMock(), None)))
+    monkeypatch.setattr(modes, "select_min_seeds", fake("min_seed", MagicMock()))
+    for f in (modes._adaptive_mode, modes._adaptive_strict_mode, modes._iterative_mode, modes._min_seed_mode):
+        f(None, "")
+    assert all(r is None or r >= 5 for r in seen["adaptive"]) and len(seen["adaptive"]) == 2
+    assert seen["iterative"] == [None] and seen["min_seed"] == [None]
