@@ -1,6 +1,7 @@
 """Personal data: patterns find direct identifiers, corpus co-occurrence the terms that reveal them."""
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,11 +80,13 @@ def contexts(text: str, found: list[tuple[int, int, int]], reach: int = CONTEXT)
     """(entity, term, start, stop) for the words around each identifier that belong to none."""
     out = []
     inside = [(a, b) for a, _, b in found]
+    words = [m.span() for m in _WORD.finditer(text)] if found else []
+    ends = [e for _, e in words]
     for a, rank, b in found:
         entity = signed(xxhash.xxh64_intdigest(f"{rank}:{text[a:b].lower()}".encode("utf-8", "surrogatepass")))
-        near, before = [], text[max(0, a - 40 * reach):a]
-        for m in list(_WORD.finditer(before))[-reach:]:
-            near.append((a - len(before) + m.start(), a - len(before) + m.end()))
+        # Words that end before the identifier, however far back; one that runs into it is no whole word.
+        upto = bisect_right(ends, a)
+        near = words[max(0, upto - reach):upto]
         for n, m in enumerate(_WORD.finditer(text, b)):
             if n == reach:
                 break

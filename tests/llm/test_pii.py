@@ -107,3 +107,10 @@ def test_sanitised_text(frames):
 
 def test_empty_table(frames):
     assert pii.pii_spans(frames[1].limit(0)).count() == 0
+
+
+def test_context_reaches_eight_words_back_at_any_length():
+    for text in ("one " + "x" * 400 + " two" + " " * 500 + "a@b.cd", "one two " + "y" * 330 + " 10.0.0.1"):
+        found = pii.identifiers(text)
+        got = [text[s:e] for _, _, s, e in pii.contexts(text, found) if e <= found[0][0]]
+        assert got == text[:found[0][0]].split()
