@@ -124,3 +124,14 @@ def test_twins_in_a_family_of_looser_relatives(spark):
         own = [word() for _ in range(109)]
         texts += [" ".join(template + own), " ".join(template + own[:-32] + [word() for _ in range(32)])]
     assert kept(spark, texts) == sorted(int(i) for i in brute_keep(list(enumerate(texts)))) == list(range(0, 240, 2))
+
+
+def test_texts_whose_leader_is_no_copy_are_compared_with_the_rest(spark, monkeypatch):
+    """All texts meet everywhere with equal fingerprints, so one text leads all the others."""
+    monkeypatch.setattr(neardup, "long_simhash", lambda hashes, bits: 0)
+    monkeypatch.setattr(neardup, "majority", lambda hashes: 0)
+    texts = []
+    for k in range(12):
+        body = [f"w{k}x{i}" for i in range(100)]
+        texts += [" ".join(body), " ".join(["new", *body[1:]])]
+    assert kept(spark, texts) == list(range(0, 24, 2))
