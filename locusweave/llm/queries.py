@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from locusweave.llm import bpe, decontaminate, pii, qda, quality_rules, secrets, simhash, token_files, toxicity, url_filters
+from locusweave.llm import bpe, decontaminate, pii, qda, quality_rules, secrets, simhash, token_files, toxicity, url_filters, vector_codes
 from locusweave.llm.registry import query, table
 
 
@@ -58,3 +58,8 @@ def op7(spark, d):
 @query("op10_pii")
 def op10(spark, d):
     return pii.pii_spans(table(spark, d, "documents")).drop("all_spans", "digest")
+
+
+@query("op11_vector_codes", vector_codes.SQL)
+def op11(spark, d):
+    return vector_codes.vector_codes(table(spark, d, "embeddings"))
