@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from locusweave.llm import bpe, decontaminate, pii, qda, quality_rules, secrets, simhash, token_files, toxicity, url_filters, vector_codes
+from locusweave.llm import bpe, decontaminate, pii, prefix_trie, qda, quality_rules, secrets, simhash, token_files, toxicity, url_filters, vector_codes
 from locusweave.llm.registry import query, table
 
 
@@ -63,3 +63,8 @@ def op10(spark, d):
 @query("op11_vector_codes", vector_codes.SQL)
 def op11(spark, d):
     return vector_codes.vector_codes(table(spark, d, "embeddings"))
+
+
+@query("op13_prefix_trie", prefix_trie.SQL)
+def op13(spark, d):
+    return prefix_trie.trie_nodes(table(spark, d, "conversations"))
