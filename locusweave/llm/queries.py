@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from locusweave.llm import bpe, decontaminate, pii, prefix_trie, qda, quality_rules, secrets, simhash, token_files, toxicity, url_filters, vector_codes
+from locusweave.llm import bpe, decontaminate, language_id, pii, prefix_trie, qda, quality_rules, secrets, simhash, token_files, toxicity, url_filters, vector_codes
 from locusweave.llm.registry import query, table
 
 
@@ -68,3 +68,8 @@ def op11(spark, d):
 @query("op13_prefix_trie", prefix_trie.SQL)
 def op13(spark, d):
     return prefix_trie.trie_nodes(table(spark, d, "conversations"))
+
+
+@query("op12_language_id")
+def op12(spark, d):
+    return language_id.languages(table(spark, d, "documents"))
