@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from locusweave.operators.interval_join import interval_join
 from locusweave.operators.islands import islands, with_island
+from locusweave.operators.leaders import dropped_by_order, keep_apart
 from locusweave.session import materialize
 
 BATCH = 4096
@@ -85,7 +87,9 @@ def _near(value, spots, tolerance):
     return any(abs(v - value) < tolerance for k in (b - 1, b, b + 1) for v in spots.get(k, ()))
 
 
-def _drop_near_either(tolerance):
+def drop_near_either(tolerance):
+    """Fold that keeps a row unless a kept one is closer than ``tolerance`` at either end."""
+
     def fold(rows):
         starts, ends = {}, {}
         for r in rows:
@@ -99,62 +103,51 @@ def _drop_near_either(tolerance):
 
 def _drop_near_both(tolerance):
     def fold(rows):
-        kept = []
+        kept = {}
         for r in rows:
-            if not any(
-                abs(k["start"] - r["start"]) < tolerance and abs(k["end"] - r["end"]) < tolerance for k in kept
-            ):
-                kept.append(r)
+            a, b = r["start"] // tolerance, r["end"] // tolerance
+            near = (k for i in (a - 1, a, a + 1) for j in (b - 1, b, b + 1) for k in kept.get((i, j), ()))
+            if not any(abs(s - r["start"]) < tolerance and abs(e - r["end"]) < tolerance for s, e in near):
+                kept.setdefault((a, b), []).append((r["start"], r["end"]))
                 yield r
 
     return fold
 
 
-def drop_near_duplicates(loci: DataFrame, order: list, tolerance: int, both: bool = False) -> DataFrame:
+def drop_near_duplicates(loci: DataFrame, order: list[str], tolerance: int, both: bool = False) -> DataFrame:
     """Keep a row unless a kept one of its chromosome is closer than ``tolerance`` at either (or both) ends.
 
     With ``both``, rows influence each other only through chains of near starts, which are the
-    groups.  The either-end rule folds per chromosome; its state is at most one kept row per
-    ``tolerance`` bases.
+    groups of a fold.  The either-end rule is settled by rounds (``keep_apart``).
     """
+    if not both:
+        return keep_apart(loci, order, tolerance)
     cols = loci.columns
     loci = materialize(loci)
-    if both:
-        points = loci.withColumn("_pe", F.col("start"))
-        found = islands(points, tolerance - 1, end="_pe")
-        grouped = with_island(loci, found).withColumnRenamed("island", "grp")
-    else:
-        grouped = loci.withColumn("grp", F.lit(0).cast("bigint"))
+    points = loci.withColumn("_pe", F.col("start"))
+    found = islands(points, tolerance - 1, end="_pe")
+    grouped = with_island(loci, found).withColumnRenamed("island", "grp")
     schema = grouped.select("chrom", "grp", *[c for c in cols if c != "chrom"]).schema
-    fold = _drop_near_both(tolerance) if both else _drop_near_either(tolerance)
-    return ordered_fold(grouped, ["chrom", "grp"], order, fold, schema).select(*cols)
-
-
-def _drop_mostly_covered(frac):
-    def fold(rows):
-        kept = []
-        for r in rows:
-            span = r["end"] - r["start"]
-            dup = False
-            for k in kept:
-                shared = min(r["end"], k["end"]) - max(r["start"], k["start"])
-                if shared > 0 and shared >= frac * min(span, k["end"] - k["start"]):
-                    dup = True
-                    break
-            if not dup:
-                kept.append(r)
-                yield r
-
-    return fold
+    return ordered_fold(grouped, ["chrom", "grp"], order, _drop_near_both(tolerance), schema).select(*cols)
 
 
 def drop_covered(cores: DataFrame, frac: float = 0.8) -> DataFrame:
-    """Longest first, drop a core that shares >= ``frac`` of the smaller span with a kept one."""
+    """Longest first, then by start, drop a core that shares >= ``frac`` of the smaller span with a kept one.
+
+    Equal intervals conflict only with each other's partners and each other, so the first stands for all.
+    """
     cols = cores.columns
-    grouped = overlap_groups(cores).withColumn("span", F.col("end") - F.col("start"))
-    schema = grouped.select("chrom", "grp", *[c for c in cols if c != "chrom"]).schema
-    order = [F.desc("span"), "start"]
-    return ordered_fold(grouped, ["chrom", "grp"], order, _drop_mostly_covered(frac), schema).select(*cols)
+    span = F.col("end") - F.col("start")
+    place = F.struct((-span).alias("span"), *[F.col(c) for c in ("start", *(c for c in cols if c != "start"))])
+    first = cores.groupBy("chrom", "start", "end").agg(F.min(place).alias("_at"))
+    first = materialize(first.select(*[F.col(f"_at.{c}").alias(c) for c in cols], "_at", F.concat_ws(":", "chrom", "start", "end").alias("_id")))
+    slim = first.select("chrom", "start", "end", F.col("_id").alias("second"), F.col("_at").alias("at"))
+    earlier = first.select("chrom", F.col("start").alias("q_start"), F.col("end").alias("q_end"), F.col("_id").alias("first"), F.col("_at").alias("before"))
+    shared = F.least("end", "q_end") - F.greatest("start", "q_start")
+    # The later one of a pair is the shorter, or as long, so its span is the smaller one.
+    pairs = interval_join(slim, earlier, mode="half_open").where((F.col("before") < F.col("at")) & (shared > 0) & (shared >= frac * span))
+    gone = dropped_by_order(pairs)
+    return first.join(gone.withColumnRenamed("node", "_id"), "_id", "left_anti").select(*cols)
 
 
 def _runs_of_adjacent(max_gap, min_jaccard):
