@@ -182,3 +182,27 @@ class Fast:
     top_loci: int | None = None  # published: 5; None expands around every new locus
     window: int = 20_000
     index_bin: int = 10_000
+
+
+@dataclass(frozen=True)
+class FamilyAssembly:
+    """Isoforms of all members of a gene family from their common junction tree."""
+
+    tolerance: int = 10
+    min_member_support: int = 2
+    min_family_support: int = 5
+    min_members: int = 1
+    group_tolerance: int = 10
+
+
+@dataclass(frozen=True)
+class Validation:
+    """Evidence an assembled isoform must have."""
+
+    min_junction_reads: int = 3
+    min_coverage: int = 5
+    min_canonical: float = 0.95
+    min_confidence: float = 0.7
+    min_family_ratio: float = 0.3
+    high_confidence: float = 0.8
+    group_bonus: float = 0.1

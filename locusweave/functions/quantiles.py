@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _ranked(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    counted = df.groupBy(*keys, F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("c"))
+def _ranked(df: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
+    times = F.sum(weight) if weight else F.count(F.lit(1))
+    counted = df.groupBy(*keys, F.col(value).alias("value")).agg(times.alias("c"))
     per = Window.partitionBy(*keys)
     return counted.withColumn("upto", F.sum("c").over(per.orderBy("value"))).withColumn("n", F.sum("c").over(per))
 
@@ -37,9 +38,9 @@ def upper_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return at_index(df, keys, value, lambda n: F.floor(n / F.lit(2)))
 
 
-def middle_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Middle element, or the integer half of the sum of both middle ones (truncated)."""
-    r = _ranked(df, keys, value)
+def middle_median(df: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
+    """Middle element, or the integer half of the sum of both middle ones (truncated); ``weight`` says how often a row counts."""
+    r = _ranked(df, keys, value, weight)
     after = lambda i: F.min(F.when(F.col("upto") > i, F.col("value")))
     both = r.groupBy(*keys).agg(
         after(F.floor((F.col("n") - 1) / F.lit(2))).alias("lo"),

@@ -150,16 +150,26 @@ def _anchors(width, inclusive):
     return fold
 
 
-def anchored_clusters(points: DataFrame, keys: list[str], width: int, inclusive: bool) -> DataFrame:
-    """(keys, pos, anchor) for distinct positions: a cluster reaches ``width`` from its first position."""
+def anchored_clusters(points: DataFrame, keys: list[str], width: int, inclusive: bool, cut: bool = False) -> DataFrame:
+    """(keys, pos, anchor) for distinct positions: a cluster reaches ``width`` from its first position.
+
+    A gap over ``width`` always ends a cluster.  With ``cut``, for keys that span whole chromosomes, positions are first
+    cut there, and each piece is walked on its own.
+    """
     distinct = points.select(*keys, "pos").distinct()
-    schema = distinct.withColumn("anchor", F.col("pos")).schema
-    return ordered_fold(distinct, keys, ["pos"], _anchors(width, inclusive), schema)
+    by = keys
+    if cut:
+        distinct = materialize(distinct)
+        dots = distinct.withColumn("_pe", F.col("pos"))
+        distinct = with_island(distinct, islands(dots, width, keys=tuple(keys), start="pos", end="_pe"), keys=tuple(keys), start="pos")
+        by = [*keys, "island"]
+    schema = distinct.select(*by, "pos").withColumn("anchor", F.col("pos")).schema
+    return ordered_fold(distinct.select(*by, "pos"), by, ["pos"], _anchors(width, inclusive), schema).select(*keys, "pos", "anchor")
 
 
-def site_support(hits: DataFrame, keys: list[str], slack: int) -> DataFrame:
+def site_support(hits: DataFrame, keys: list[str], slack: int, cut: bool = False) -> DataFrame:
     """(keys, center, n_reads) of sites (keys, pos, read_id): integer mean position, distinct reads."""
-    a = anchored_clusters(hits, keys, slack, inclusive=True)
+    a = anchored_clusters(hits, keys, slack, inclusive=True, cut=cut)
     tied = hits.join(a, [*keys, "pos"])
     center = tied.groupBy(*keys, "anchor").agg(F.sum("pos").alias("s"), F.count(F.lit(1)).alias("c"))
     reads = tied.select(*keys, "anchor", "read_id").distinct().groupBy(*keys, "anchor").agg(F.count(F.lit(1)).alias("n_reads"))

@@ -24,6 +24,7 @@ def load() -> None:
     from locusweave.workload import (  # noqa: F401
         coverage,
         evaluation,
+        family,
         isoforms,
         loci,
         modes,

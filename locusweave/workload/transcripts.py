@@ -361,7 +361,7 @@ def _acceptor_support(spark, d):
     from locusweave.functions.cigar import acceptor_sites
 
     hits = _full(spark, d).select("chrom", "read_id", F.explode(acceptor_sites("start", "cigar")).alias("pos"))
-    return site_support(hits, ["chrom"], 12)
+    return site_support(hits, ["chrom"], 12, cut=True)
 
 
 @query(
@@ -370,7 +370,7 @@ def _acceptor_support(spark, d):
 )
 def _anchored_starts(spark, d):
     points = tables.alignments(spark, d).select("chrom", F.col("start").alias("pos"))
-    return anchored_clusters(points, ["chrom"], 50, inclusive=True)
+    return anchored_clusters(points, ["chrom"], 50, inclusive=True, cut=True)
 
 
 @query(
