@@ -1,16 +1,40 @@
 """Binned coverage of many loci at once.
 
-An alignment adds at most three change events, whatever the number of bins it spans; a running sum
-per locus turns events into the profile.  Events are combined map-side per (locus, bin), and the
-window of a locus holds one row per bin, so its size is set by the locus span, not by depth.
-All sums are integers; the one division per bin comes last.
+The bins of a locus are cut into tiles.  An alignment adds a few change events, and one more for every further tile it
+reaches into, so the running sum of a tile needs nothing from other tiles: a window holds one tile at most, however
+long the locus.  Events are combined map-side per (locus, bin), so depth does not count either.  All sums are
+integers; the one division per bin comes last.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusweave.operators.interval_join import interval_join
+from locusweave.session import materialize
 
+#: Bins of a tile.  An alignment rarely reaches beyond two tiles.
+TILE = 4096
+
+
+def tile_of(bin_) -> Column:
+    return F.floor(bin_ / F.lit(TILE))
+
+
+def with_halo(profile: DataFrame, reach: int) -> DataFrame:
+    """``profile`` with ``_tile``; rows less than ``reach`` bins from another tile are there once more, with ``_own`` false."""
+    b = F.col("bin")
+    spots = F.array_distinct(F.array(tile_of(b), tile_of(b - reach), tile_of(b + reach)))
+    return profile.withColumn("_tile", F.explode(spots)).withColumn("_own", F.col("_tile") == tile_of(b))
+
+
+def _active(first: Column, stop: Column, height: Column) -> Column:
+    """Change events of a step that holds from bin ``first`` to before bin ``stop``, begun anew in each tile."""
+    zero = F.lit(0).cast("bigint")
+    event = lambda b, h: F.struct(b.cast("bigint").alias("bin"), zero.alias("part"), h.cast("bigint").alias("step"))
+    tiles = F.sequence(tile_of(first), tile_of(stop - 1))
+    ups = F.transform(tiles, lambda t: event(F.greatest(first, t * TILE), height))
+    downs = F.when(stop % TILE != 0, F.array(event(stop, -height))).otherwise(F.array().cast("array<struct<bin:bigint,part:bigint,step:bigint>>"))
+    return F.when(stop > first, F.concat(ups, downs)).otherwise(F.array().cast("array<struct<bin:bigint,part:bigint,step:bigint>>"))
 
 
 def _clipped(
@@ -31,18 +55,20 @@ def _profile(
 ) -> DataFrame:
     """Running sums over ``events`` (keys, by, bin, part, step) on the full bin spine."""
     n_bins = F.expr(f"(end - start) div {bin_size}")
-    spine = loci.select(
-        *keys, F.explode(F.sequence(F.lit(0).cast("bigint"), n_bins)).alias("bin")
-    ).select(*keys, "bin", F.lit(0).cast("bigint").alias("part"), F.lit(0).cast("bigint").alias("step"))
+    zero = F.lit(0).cast("bigint")
+    # Tiles first, then their bins, so that no array is longer than a tile.
+    spine = loci.select(*keys, n_bins.alias("_last"), F.explode(F.sequence(zero, tile_of(n_bins))).alias("_tile")).select(
+        *keys, F.explode(F.sequence(F.col("_tile") * TILE, F.least("_last", (F.col("_tile") + 1) * TILE - 1))).alias("bin")
+    ).select(*keys, "bin", zero.alias("part"), zero.alias("step"))
     if by:
         spine = spine.withColumn(by[0], F.explode(F.array(F.lit("+"), F.lit("-"))))
     all_events = events.select(*keys, *by, "bin", "part", "step").unionByName(
         spine.select(*keys, *by, "bin", "part", "step")
     )
-    per_bin = all_events.groupBy(*keys, *by, "bin").agg(
+    per_bin = all_events.groupBy(*keys, *by, tile_of(F.col("bin")).alias("_tile"), "bin").agg(
         F.sum("part").alias("part"), F.sum("step").alias("step")
     )
-    w = Window.partitionBy(*keys, *by).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*keys, *by, "_tile").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     summed = per_bin.withColumn("bp", F.col("part") + F.sum("step").over(w))
     return summed.select(*keys, *by, "bin", "bp")
 
@@ -64,18 +90,13 @@ def coverage_fractional(
     s, e = F.expr(f"(cs - q_start) div {bin_size}"), F.expr(f"(ce - q_start) div {bin_size}")
     c = c.withColumn("s", s).withColumn("e", e)
     zero, size = F.lit(0).cast("bigint"), F.lit(bin_size).cast("bigint")
-    same = F.array(F.struct(F.col("s").alias("bin"), (F.col("ce") - F.col("cs")).alias("part"), zero.alias("step")))
-    first = F.struct(
-        F.col("s").alias("bin"),
-        (F.col("q_start") + (F.col("s") + 1) * size - F.col("cs")).alias("part"),
-        zero.alias("step"),
-    )
-    rise = F.struct((F.col("s") + 1).alias("bin"), zero.alias("part"), size.alias("step"))
-    last = F.struct(
-        F.col("e").alias("bin"), (F.col("ce") - F.col("q_start") - F.col("e") * size).alias("part"), (-size).alias("step")
-    )
+    part = lambda b, n: F.struct(b.alias("bin"), n.alias("part"), zero.alias("step"))
+    same = F.array(part(F.col("s"), F.col("ce") - F.col("cs")))
+    first = part(F.col("s"), F.col("q_start") + (F.col("s") + 1) * size - F.col("cs"))
+    last = part(F.col("e"), F.col("ce") - F.col("q_start") - F.col("e") * size)
+    whole = _active(F.col("s") + 1, F.col("e"), size)
     events = c.withColumn(
-        "ev", F.explode(F.when(F.col("s") == F.col("e"), same).otherwise(F.array(first, rise, last)))
+        "ev", F.explode(F.when(F.col("s") == F.col("e"), same).otherwise(F.concat(F.array(first, last), whole)))
     ).select(*keys, *by, "ev.*")
     prof = _profile(events, loci, keys, by, bin_size).join(
         loci.select(*keys, "start", "end"), keys
@@ -103,13 +124,10 @@ def coverage_counts(
     c = _clipped(alignments, loci, keys, by, **kw)
     s, e = F.expr(f"(cs - q_start) div {bin_size}"), F.expr(f"(ce - q_start) div {bin_size}")
     c = c.withColumn("s", s).withColumn("e", e)
-    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
-    inside = F.col("e") < F.expr(f"(q_end - q_start) div {bin_size}")
-    up = F.struct(F.col("s").alias("bin"), zero.alias("part"), one.alias("step"))
-    down = F.struct((F.col("e") + 1).alias("bin"), zero.alias("part"), (-one).alias("step"))
-    events = c.withColumn(
-        "ev", F.explode(F.when(inside, F.array(up, down)).otherwise(F.array(up)))
-    ).select(*keys, *by, "ev.*")
+    last = F.expr(f"(q_end - q_start) div {bin_size}")
+    c = c.withColumn("last", last).withColumn("ev", F.explode(_active(F.col("s"), F.col("e") + 1, F.lit(1))))
+    # An alignment up to the last bin of its locus falls in a bin that is not there.
+    events = c.where("ev.bin <= last").select(*keys, *by, "ev.*")
     prof = _profile(events, loci, keys, by, bin_size).join(loci.select(*keys, "start"), keys)
     return prof.select(
         *keys,
@@ -143,17 +161,15 @@ def genome_bins(
 
 def below_threshold_runs(profile: DataFrame, frac: float, keys: tuple[str, ...] = ("locus_id",)) -> DataFrame:
     """Midpoint bins of runs below ``frac * max``; needs max >= 2, a run open at the end is dropped."""
-    per = Window.partitionBy(*keys)
-    w = per.orderBy("bin")
+    keys = list(keys)
+    profile = materialize(profile.select(*keys, "bin", "cov"))
+    top = profile.groupBy(*keys).agg(F.max("cov").alias("mx")).where("mx >= 2.0")
+    near = Window.partitionBy(*keys, "_tile").orderBy("bin")
     low = F.col("cov") < F.col("mx") * F.lit(frac)
-    marked = (
-        profile.withColumn("mx", F.max("cov").over(per))
-        .where("mx >= 2.0")
-        .withColumn("low", low)
-        .withColumn("prev", F.lag("low").over(w))
-    )
+    marked = with_halo(profile.join(top, keys).select(*keys, "bin", low.alias("low")), 1)
+    marked = marked.withColumn("prev", F.lag("low").over(near)).where("_own")
     # Rows where the state flips; a run is a flip to low followed by a flip back.
+    w = Window.partitionBy(*keys).orderBy("bin")
     flips = marked.where(F.col("low") != F.coalesce("prev", F.lit(False)))
     runs = flips.withColumn("stop", F.lead("bin").over(w)).where(F.col("low") & F.col("stop").isNotNull())
     return runs.select(*keys, F.expr("(bin + stop) div 2").alias("valley_bin"))
-
