@@ -21,9 +21,13 @@ def tile_of(bin_) -> Column:
 
 
 def with_halo(profile: DataFrame, reach: int) -> DataFrame:
-    """``profile`` with ``_tile``; rows less than ``reach`` bins from another tile are there once more, with ``_own`` false."""
+    """``profile`` with ``_tile``; rows at most ``reach`` bins from another tile are there once more, with ``_own`` false.
+
+    ``reach`` must not exceed a tile.
+    """
     b = F.col("bin")
-    spots = F.array_distinct(F.array(tile_of(b), tile_of(b - reach), tile_of(b + reach)))
+    own, low, high = tile_of(b), tile_of(b - reach), tile_of(b + reach)
+    spots = F.when(low == high, F.array(own)).otherwise(F.array_distinct(F.array(own, low, high)))
     return profile.withColumn("_tile", F.explode(spots)).withColumn("_own", F.col("_tile") == tile_of(b))
 
 
