@@ -31,7 +31,7 @@ def with_halo(profile: DataFrame, reach: int) -> DataFrame:
     return profile.withColumn("_tile", F.explode(spots)).withColumn("_own", F.col("_tile") == tile_of(b))
 
 
-def _active(first: Column, stop: Column, height: Column) -> Column:
+def active(first: Column, stop: Column, height: Column) -> Column:
     """Change events of a step that holds from bin ``first`` to before bin ``stop``, begun anew in each tile."""
     zero = F.lit(0).cast("bigint")
     event = lambda b, h: F.struct(b.cast("bigint").alias("bin"), zero.alias("part"), h.cast("bigint").alias("step"))
@@ -98,7 +98,7 @@ def coverage_fractional(
     same = F.array(part(F.col("s"), F.col("ce") - F.col("cs")))
     first = part(F.col("s"), F.col("q_start") + (F.col("s") + 1) * size - F.col("cs"))
     last = part(F.col("e"), F.col("ce") - F.col("q_start") - F.col("e") * size)
-    whole = _active(F.col("s") + 1, F.col("e"), size)
+    whole = active(F.col("s") + 1, F.col("e"), size)
     events = c.withColumn(
         "ev", F.explode(F.when(F.col("s") == F.col("e"), same).otherwise(F.concat(F.array(first, last), whole)))
     ).select(*keys, *by, "ev.*")
@@ -129,7 +129,7 @@ def coverage_counts(
     s, e = F.expr(f"(cs - q_start) div {bin_size}"), F.expr(f"(ce - q_start) div {bin_size}")
     c = c.withColumn("s", s).withColumn("e", e)
     last = F.expr(f"(q_end - q_start) div {bin_size}")
-    c = c.withColumn("last", last).withColumn("ev", F.explode(_active(F.col("s"), F.col("e") + 1, F.lit(1))))
+    c = c.withColumn("last", last).withColumn("ev", F.explode(active(F.col("s"), F.col("e") + 1, F.lit(1))))
     # An alignment up to the last bin of its locus falls in a bin that is not there.
     events = c.where("ev.bin <= last").select(*keys, *by, "ev.*")
     prof = _profile(events, loci, keys, by, bin_size).join(loci.select(*keys, "start"), keys)

@@ -73,3 +73,32 @@ def test_a_long_locus_spreads_over_many_windows(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         windows = re.findall(r"\n[^\n]*Window \[[^\n]*", plan)
         assert windows and all("_tile" in w for w in windows)
+
+
+@pytest.mark.parametrize(("window", "step", "tile"), [(200, 100, 4096), (100, 30, 5), (50, 70, 2)])
+def test_window_jaccards_count_distinct_reads(spark, monkeypatch, window, step, tile):
+    from locusweave.config import Refine
+    from locusweave.operators import refine
+
+    set_tile(monkeypatch, tile)
+    monkeypatch.setattr(refine, "TILE", tile)
+    r = random.Random(window)
+    rows = [(r.randrange(25), r.choice("cd"), s := r.randrange(0, 2600), s + r.choice([0, 5, 90, 700]), 4 if i % 17 == 0 else 0) for i in range(160)]
+    a = spark.createDataFrame(rows, "read_id long, chrom string, start long, end long, flag int")
+    places = [("a|1", "c", 100, 2500), ("b|1", "d", 300, 701), ("e|1", "d", 0, 190), ("x|1", "z", 0, 900)]
+    ref = set(range(0, 25, 2))
+    p = Refine(window=window, step=step, min_region=100)
+    want = {}
+    for name, chrom, lo, hi in places:
+        if hi - lo < 200:
+            continue
+        spots = [(5, q, q, min(q + window, hi)) for q in range(lo, hi, step)] + [(3, q, max(q - window, lo), q) for q in range(hi - 1, lo - 1, -step)]
+        for side, q, x, y in spots:
+            if y - x >= window // 2:
+                reads = {i for i, c, s, e, f in rows if c == chrom and f == 0 and s <= y and e >= x}
+                want[(name, side, q)] = len(reads & ref) / len(reads | ref) if reads else 0.0
+    loci = spark.createDataFrame(places, LOCUS)
+    for reference in (spark.createDataFrame([(i,) for i in sorted(ref)], "read_id long"),
+                      spark.createDataFrame([(i, g) for i in sorted(ref) for g in "abex"], "read_id long, group string")):
+        got = {(x["locus_id"], x["side"], x["pos"]): x["jaccard"] for x in refine.window_jaccards(a, loci, reference, p).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
