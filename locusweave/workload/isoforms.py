@@ -17,7 +17,7 @@ from locusweave.session import materialize
 from locusweave.sources import tables
 from locusweave.workload import query
 from locusweave.workload.base import whole_loci
-from locusweave.workload.sql import ALN, GENES, LOCI
+from locusweave.workload.sql import ALN, GENES, LOCI, anchored
 from locusweave.workload.transcripts import FULL
 
 BW = 1024
@@ -31,7 +31,34 @@ def _spliced_reads(spark, d):
     )
 
 
-@query("isoform_assembly")
+ASSEMBLED = f"""{FULL},
+w AS (SELECT *, max(e) OVER (PARTITION BY chrom, rev ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM f),
+g AS (SELECT *, CASE WHEN line % 4 = 0 THEN [[s + 5 * q, s + 7 * q], [s + 12 * q, s + 15 * q]] WHEN line % 2 = 0 THEN [[s + 8 * q, s + 12 * q]] ELSE [] END AS js,
+  last_value(CASE WHEN pe IS NULL OR s - pe > 100 THEN s END IGNORE NULLS) OVER (PARTITION BY chrom, rev ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS gene FROM w),
+rd AS MATERIALIZED (SELECT row_number() OVER () AS id, * FROM g WHERE len(js) > 0),
+jn AS (SELECT id, chrom, rev, gene, i, js[i][1] AS d, js[i][2] AS a FROM rd, range(1, 3) AS r(i) WHERE i <= len(js)),
+dp AS (SELECT chrom, rev, gene, d AS pos FROM jn), ap AS (SELECT chrom, rev, gene, a AS pos FROM jn),
+{anchored("dp", "chrom, rev, gene", 10, True, "dn")},
+{anchored("ap", "chrom, rev, gene", 10, True, "ac")},
+ck AS (SELECT id, list([dn.anchor, ac.anchor] ORDER BY i) AS chain FROM jn
+  JOIN dn ON dn.chrom = jn.chrom AND dn.rev = jn.rev AND dn.gene = jn.gene AND dn.pos = d
+  JOIN ac ON ac.chrom = jn.chrom AND ac.rev = jn.rev AND ac.gene = jn.gene AND ac.pos = a GROUP BY 1),
+ch AS MATERIALIZED (SELECT chrom, rev, gene, s, e, chain FROM rd JOIN ck USING (id)),
+tot AS (SELECT chrom, rev, gene, count(*) AS n FROM ch GROUP BY 1, 2, 3),
+sup AS (SELECT chrom, rev, gene, j, count(*) AS n FROM (SELECT chrom, rev, gene, unnest(chain) AS j FROM ch) GROUP BY 1, 2, 3, 4),
+weak AS (SELECT sup.chrom, sup.rev, sup.gene, j FROM sup JOIN tot ON tot.chrom = sup.chrom AND tot.rev = sup.rev AND tot.gene = sup.gene
+  WHERE sup.n < 2 OR sup.n < tot.n * 0.1::DOUBLE),
+px AS (SELECT chrom, rev, gene, chain[1:k] AS path, count(*) AS coverage, sum(s) AS ss, sum(e) AS es FROM ch, range(1, 3) AS r(k)
+  WHERE k <= len(chain) GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2),
+bad AS (SELECT DISTINCT p.chrom, p.rev, p.gene, path FROM (SELECT *, unnest(path) AS j FROM px) p
+  JOIN weak ON weak.chrom = p.chrom AND weak.rev = p.rev AND weak.gene = p.gene AND weak.j = p.j)"""
+
+
+@query(
+    "isoform_assembly",
+    f"""WITH RECURSIVE {ASSEMBLED} SELECT chrom, CASE WHEN rev THEN '-' ELSE '+' END AS strand, gene, len(path) AS n_junctions, coverage,
+  (ss // coverage)::BIGINT AS start, (es // coverage)::BIGINT AS "end" FROM px ANTI JOIN bad USING (chrom, rev, gene, path)""",
+)
 def _isoform_assembly(spark, d):
     reads = materialize(read_genes(_spliced_reads(spark, d), 100))
     iso = assemble_isoforms(snapped_chains(reads, 10), min_coverage=2)
