@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusweave.functions.cigar import end_position, exon_shell, splice_junctions
+from locusweave.functions.cigar import end_position, exon_shell, signature_similarity, splice_junctions
 from locusweave.functions.intervals import is_mapped, is_primary, is_reverse
 from locusweave.functions.quantiles import interpolated, two_sided
 from locusweave.operators.folds import ordered_fold
@@ -393,24 +393,27 @@ def splice_signatures(alignments: DataFrame, loci: DataFrame, **kw) -> DataFrame
 
 
 def _leaders(min_similarity, tolerance):
-    def alike(a, b):
-        hit = sum(
-            any(abs(x["start"] - y["start"]) <= tolerance and abs(x["end"] - y["end"]) <= tolerance for y in b) for x in a
-        )
-        return hit / (len(a) + len(b) - hit)
+    """Fold that keeps the patterns no kept one before is alike with; kept ones are found by the buckets of their junctions."""
+    width = tolerance + 1
 
     def fold(rows):
-        leaders = []
+        leaders, spots = [], {}
         for r in rows:
-            best, at = 0.0, None
-            for i, lead in enumerate(leaders):
-                s = alike(r["junctions"], lead)
-                if s >= min_similarity and s > best:
-                    best, at = s, i
-            if at is None:
-                leaders.append(r["junctions"])
-                at = len(leaders) - 1
-            yield {"read_id": r["read_id"], "start": r["start"], "end": r["end"], "cluster": at}
+            own = [(x["start"], x["end"]) for x in r["junctions"]]
+            shared: dict[int, int] = {}
+            for a, b in own:
+                near = {
+                    i for u in (-1, 0, 1) for v in (-1, 0, 1) for i, (c, d) in spots.get((a // width + u, b // width + v), ())
+                    if abs(a - c) <= tolerance and abs(b - d) <= tolerance
+                }
+                for i in near:
+                    shared[i] = shared.get(i, 0) + 1
+            if any(hit / (len(own) + leaders[i] - hit) >= min_similarity for i, hit in shared.items()):
+                continue
+            for a, b in own:
+                spots.setdefault((a // width, b // width), []).append((len(leaders), (a, b)))
+            leaders.append(len(own))
+            yield r
 
     return fold
 
@@ -418,21 +421,39 @@ def _leaders(min_similarity, tolerance):
 def splice_clusters(signatures: DataFrame, min_similarity: float = 0.3, tolerance: int = 10) -> DataFrame:
     """(locus_id, chrom, read_id, start, end, cluster): each read joins the most similar earlier pattern.
 
-    Walks (start, read_id); the state is one junction list per pattern.
+    Reads go by (start, read_id).  Only the first read of each distinct pattern can found a cluster, so these alone are
+    walked.  Patterns then meet the founders they share a junction with in a join, and a read takes the best of those
+    that existed at its place, the earlier founded one of equals.
     """
-    src = signatures.select(KEY, "chrom", "read_id", "start", "end", "junctions")
-    schema = src.drop("junctions").withColumn("cluster", F.lit(0).cast("bigint")).schema
-    return ordered_fold(src, [KEY, "chrom"], ["start", "read_id"], _leaders(min_similarity, tolerance), schema).select(
-        KEY, "chrom", "read_id", "start", "end", "cluster"
-    )
-
-
-def splice_subclouds(signatures: DataFrame, min_similarity: float = 0.3, min_size: int = 5) -> tuple[DataFrame, DataFrame]:
+    src = materialize(signatures.select(KEY, "chrom", "read_id", "start", "end", "junctions"))
+    group = [KEY, "chrom"]
+    patterns = materialize(src.groupBy(*group, "junctions").agg(F.min(F.struct("start", "read_id")).alias("at")))
+    heads = ordered_fold(patterns, group, ["at"], _leaders(min_similarity, tolerance), patterns.select(*group, "junctions", "at").schema)
+    number = (F.row_number().over(Window.partitionBy(*group).orderBy("at")) - 1).cast("bigint")
+    heads = materialize(heads.withColumn("cluster", number))
+    width = tolerance + 1
+    slot = lambda c: F.floor(F.col(f"j.{c}") / F.lit(width))
+    around = F.array(*[F.struct((slot("start") + u).alias("u"), (slot("end") + v).alias("v")) for u in (-1, 0, 1) for v in (-1, 0, 1)])
+    left = patterns.select(*group, "junctions", F.explode("junctions").alias("j")).select(
+        *group, "junctions", slot("start").alias("u"), slot("end").alias("v"))
+    right = heads.select(*group, "cluster", F.col("junctions").alias("lead"), F.col("at").alias("since"), F.explode("junctions").alias("j"))
+    right = right.withColumn("k", F.explode(around)).select(*group, "cluster", "lead", "since", "k.u", "k.v")
+    met = left.join(right, [*group, "u", "v"]).select(*group, "junctions", "cluster", "lead", "since").distinct()
+    scored = met.withColumn("s", signature_similarity("junctions", "lead", tolerance)).where(F.col("s") >= min_similarity)
+    choices = scored.groupBy(*group, "junctions").agg(F.collect_list(F.struct("s", (-F.col("cluster")).alias("less"), "since")).alias("all"))
+    place = F.struct("start", "read_id")
+    best = F.array_max(F.filter("all", lambda c: c["since"] <= place))
+    return src.join(choices, [*group, "junctions"]).select(*group, "read_id", "start", "end", (-best["less"]).alias("cluster"))
+
+
+def splice_subclouds(
+    signatures: DataFrame, min_similarity: float = 0.3, min_size: int = 5, tolerance: int = 10
+) -> tuple[DataFrame, DataFrame]:
     """Sub-clouds (locus_id, chrom, cluster, start, end, n_spliced) and their common junctions.
 
     A junction is representative when at least half (rounded down) of the cluster's reads have it.
     """
-    c = splice_clusters(signatures, min_similarity)
+    c = materialize(splice_clusters(signatures, min_similarity, tolerance))
     sub = c.groupBy(KEY, "chrom", "cluster").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_spliced")
     ).where(F.col("n_spliced") >= min_size)

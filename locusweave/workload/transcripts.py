@@ -31,6 +31,8 @@ from locusweave.operators.transcripts import (
     percentile_bounds,
     site_support,
     splice_signatures,
+    merge_subclouds,
+    splice_clusters,
     splice_subclouds,
     split_by_transcripts,
     split_clouds,
@@ -297,13 +299,56 @@ def _signature_similarity(spark, d):
     )
 
 
-@query("splice_subclouds")
+def _subclouds_sql(tolerance: int, least: str) -> str:
+    """``sc`` (locus_id, chrom, cluster, start, stop, n_spliced).
+
+    The recursion walks the distinct patterns of a locus by their first read and keeps the founders as a list.
+    """
+    hit = f"len(list_filter({{a}}, lambda x: len(list_filter({{b}}, lambda y: abs(x[1] - y[1]) <= {tolerance} AND abs(x[2] - y[2]) <= {tolerance})) > 0))"
+    of_lead = hit.format(a="o.j", b="k.j")
+    alike = f"len(list_filter(w.kept, lambda k: ({of_lead})::DOUBLE / (len(o.j) + len(k.j) - {of_lead}) >= {least})) > 0"
+    pair = hit.format(a="g.j", b="h.j")
+    return f"""{FULL_LOCI},
+r AS (SELECT locus_id, loci.chrom, read_id, s, e, line, q, row_number() OVER (PARTITION BY locus_id, read_id ORDER BY s, e) AS rn
+  FROM (SELECT locus_id, chrom, ls, le FROM loci) loci JOIN f USING (chrom) WHERE s <= le AND e >= ls),
+sg AS MATERIALIZED (SELECT locus_id, chrom, read_id, s, e, CASE WHEN line % 4 = 0 THEN [[s + 5 * q, s + 7 * q], [s + 12 * q, s + 15 * q]]
+    ELSE [[s + 8 * q, s + 12 * q]] END AS j FROM r WHERE rn = 1 AND line % 2 = 0),
+o AS MATERIALIZED (SELECT locus_id, j, min((s, read_id)) AS fst, row_number() OVER (PARTITION BY locus_id ORDER BY min((s, read_id))) AS rn FROM sg GROUP BY 1, 2),
+w AS (SELECT locus_id, rn, [{{'j': j, 'fst': fst, 'c': 0}}] AS kept FROM o WHERE rn = 1
+  UNION ALL SELECT o.locus_id, o.rn, CASE WHEN {alike} THEN w.kept ELSE list_append(w.kept, {{'j': o.j, 'fst': o.fst, 'c': len(w.kept)::INT}}) END
+  FROM w JOIN o ON o.locus_id = w.locus_id AND o.rn = w.rn + 1),
+h AS MATERIALIZED (SELECT locus_id, k.j AS j, k.fst AS fst, k.c::BIGINT AS c FROM (SELECT locus_id, unnest(arg_max(kept, rn)) AS k FROM w GROUP BY 1)),
+m AS (SELECT g.*, c, ({pair})::DOUBLE / (len(g.j) + len(h.j) - {pair}) AS sim FROM sg g JOIN h ON h.locus_id = g.locus_id AND h.fst <= (g.s, g.read_id)),
+cl AS (SELECT *, row_number() OVER (PARTITION BY locus_id, read_id ORDER BY sim DESC, c) AS rn FROM m WHERE sim >= {least}),
+sc AS (SELECT locus_id, any_value(chrom) AS chrom, c AS cluster, min(s) AS start, max(e) AS stop, count(*) AS n_spliced FROM cl WHERE rn = 1 GROUP BY locus_id, c)"""
+
+
+@query(
+    "splice_subclouds",
+    f"""WITH RECURSIVE {_subclouds_sql(60, "0.3::DOUBLE")} SELECT locus_id, chrom, cluster, start, stop AS "end", n_spliced FROM sc WHERE n_spliced >= 2""",
+)
 def _splice_subclouds(spark, d):
     loci, _ = whole_loci(spark, d)
-    sub, _ = splice_subclouds(materialize(splice_signatures(_full(spark, d), loci, bin_width=BW)), 0.3, 2)
+    sub, _ = splice_subclouds(materialize(splice_signatures(_full(spark, d), loci, bin_width=BW)), 0.3, 2, 60)
     return sub
 
 
+@query(
+    "merged_subclouds",
+    f"""WITH RECURSIVE {_subclouds_sql(60, "0.3::DOUBLE")}, big AS (SELECT * FROM sc WHERE n_spliced >= 2),
+mw AS (SELECT *, max(stop) OVER (PARTITION BY chrom ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM big),
+mg AS (SELECT *, sum(CASE WHEN pe IS NULL OR start >= pe THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS isl FROM mw),
+mr AS (SELECT mg.chrom, isl, count(DISTINCT read_id) AS n_reads FROM mg JOIN cl ON cl.locus_id = mg.locus_id AND cl.c = mg.cluster AND cl.rn = 1 GROUP BY 1, 2)
+SELECT chrom, min(start) AS start, max(stop) AS "end", any_value(n_reads) AS n_reads, sum(n_spliced)::BIGINT AS n_spliced
+FROM mg JOIN mr USING (chrom, isl) GROUP BY chrom, isl HAVING any_value(n_reads) >= 3""",
+)
+def _merged_subclouds(spark, d):
+    loci, _ = whole_loci(spark, d)
+    sig = materialize(splice_signatures(_full(spark, d), loci, bin_width=BW))
+    sub, _ = splice_subclouds(sig, 0.3, 2, 60)
+    return merge_subclouds(sub, splice_clusters(sig, 0.3, 60), 3)
+
+
 def _ends_sql(which: str, name: str) -> str:
     """Clusters of transcript starts or ends per locus and strand, anchored at the outermost one."""
     plus, minus = ("s", "-e") if which == "tss" else ("e", "-s")

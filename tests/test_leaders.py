@@ -73,3 +73,30 @@ def test_drop_covered(spark):
     got = drop_covered(spark.createDataFrame(rows, "chrom string, start long, end long"))
     # Of equally long ones the smaller start comes first, then the smaller chromosome, which is no conflict.
     assert sorted(map(tuple, got.collect())) == sorted(kept)
+
+
+@pytest.mark.parametrize("least", [0.3, 0.6])
+def test_splice_clusters_are_those_of_the_walk(spark, least):
+    from locusweave.operators.transcripts import splice_clusters
+
+    r = random.Random(int(least * 10))
+    rows = []
+    for i in range(160):
+        chain = [(s := 100 * k + r.choice([0, 6, 14, 30]), s + 40 + r.choice([0, 9])) for k in sorted(r.sample(range(5), r.randrange(1, 4)))]
+        rows.append((f"l{r.randrange(2)}", "c", i, r.randrange(60), 900, chain))
+    near = lambda a, b: abs(a[0] - b[0]) <= 10 and abs(a[1] - b[1]) <= 10
+    found, want = {}, {}
+    for row in sorted(rows, key=lambda x: (x[0], x[3], x[2])):
+        heads = found.setdefault(row[0], [])
+        best, at = 0.0, None
+        for i, lead in enumerate(heads):
+            hit = sum(any(near(x, y) for y in lead) for x in row[5])
+            s = hit / (len(row[5]) + len(lead) - hit)
+            if s >= least and s > best:
+                best, at = s, i
+        if at is None:
+            heads.append(row[5])
+            at = len(heads) - 1
+        want[row[2]] = at
+    df = spark.createDataFrame(rows, "locus_id string, chrom string, read_id long, start long, end long, junctions array<struct<start:long,end:long>>")
+    assert {x["read_id"]: x["cluster"] for x in splice_clusters(df, least).collect()} == want
