@@ -276,9 +276,9 @@ def window_valleys(profile: DataFrame, window: int = 3, min_depth: float = 0.5,
     return d.where((F.col("confidence") >= min_depth) & (F.col("cov") < max_count)).select(KEY, "bin", "confidence")
 
 
-def adaptive_bin_profile(alignments: DataFrame, loci: DataFrame, **kw) -> DataFrame:
-    """(locus_id, bin, mid, cov) with about 100 bins per locus, 1 kb at least; parts outside count in the edge bins."""
-    sized = loci.withColumn("bs", F.greatest(F.expr("(end - start) div 100"), F.lit(1000)))
+def adaptive_bin_profile(alignments: DataFrame, loci: DataFrame, min_bin: int = 1000, **kw) -> DataFrame:
+    """(locus_id, bin, mid, cov) with about 100 bins per locus, ``min_bin`` long at least; parts outside count in the edge bins."""
+    sized = loci.withColumn("bs", F.greatest(F.expr("(end - start) div 100"), F.lit(min_bin)))
     hits = interval_join(alignments.where(is_mapped()).select("chrom", "start", "end"), _regions(loci), **kw).join(
         sized.select(KEY, "bs"), KEY
     )
@@ -331,20 +331,23 @@ def merge_split_points(points: DataFrame, reach: int = 10_000) -> DataFrame:
 
 
 def split_clouds(
-    alignments: DataFrame, clouds: DataFrame, expected: int | None = None, seed_col: bool = False, **kw
+    alignments: DataFrame, clouds: DataFrame, expected: int | None = None, seed_col: bool = False,
+    min_bin: int = 1000, distance: int = 5000, min_points: int = 20, reach: int = 10_000, **kw
 ) -> DataFrame:
-    """Sub-loci (locus_id, chrom, start, end, evidence) of clouds cut at valleys and transcript ends.
+    """Sub-loci (locus_id, chrom, start, end, split_evidence) of clouds cut at valleys and transcript ends.
+
+    Ends are clustered within ``distance`` and count with ``min_points``; points closer than ``reach`` become one.
 
     With ``expected`` genes only the most confident ``expected - 1`` points are kept, where there are
     that many.  With ``seed_col`` the clouds carry ``seed_start``/``seed_end`` (null without a seed
     inside) and the best point on either side of the seed goes first.
     """
-    prof = adaptive_bin_profile(alignments, clouds, **kw)
+    prof = materialize(adaptive_bin_profile(alignments, clouds, min_bin, **kw))
     valleys = window_valleys(prof).join(prof.select(KEY, "bin", "mid"), [KEY, "bin"]).select(
         KEY, F.col("mid").alias("position"), "confidence", F.lit("coverage_valley").alias("evidence")
     )
-    ends = boundary_clusters(boundary_points(alignments, clouds, **kw)).select(KEY, "position", "confidence", "evidence")
-    points = merge_split_points(valleys.unionByName(ends))
+    ends = boundary_clusters(boundary_points(alignments, clouds, **kw), distance, min_points).select(KEY, "position", "confidence", "evidence")
+    points = merge_split_points(valleys.unionByName(ends), reach)
     if expected is not None and expected > 1:
         w = Window.partitionBy(KEY)
         points = points.withColumn("n", F.count(F.lit(1)).over(w))

@@ -22,6 +22,7 @@ from locusweave.operators.readsets import jaccard_edges, pooled_reads
 from locusweave.operators.refine import exon_trim, jaccard_trim, refine_loci, window_jaccards
 from locusweave.operators.interval_join import as_regions
 from locusweave.operators.transcripts import (
+    adaptive_bin_profile,
     anchored_clusters,
     boundary_clusters,
     boundary_distribution,
@@ -387,11 +388,58 @@ def _split_by_transcripts(spark, d):
     return split_by_transcripts(t, loci, 100, 3, expected=2)
 
 
-@query("split_clouds")
+#: ``pts`` (locus_id, position, confidence, evidence): window valleys and end clusters of all loci.
+SPLIT_POINTS = f"""{FULL_LOCI},
+lx AS (SELECT locus_id, chrom, ls, le, greatest((le - ls) // 100, 40) AS bs FROM loci),
+g AS MATERIALIZED (SELECT lx.*, s, e, rev FROM lx JOIN (SELECT chrom, s, e, rev FROM f) f USING (chrom) WHERE s <= le AND e >= ls),
+cb AS (SELECT locus_id, unnest(range(least(greatest(s - ls, 0) // bs, (le - ls) // bs), least(greatest(e - ls, 0) // bs, (le - ls) // bs) + 1)) AS bin FROM g),
+cn AS (SELECT locus_id, bin, count(*) AS n FROM cb GROUP BY 1, 2),
+pr AS (SELECT x.locus_id, x.bin, (2 * ls + (2 * x.bin + 1) * bs) // 2 AS mid, coalesce(n, 0)::DOUBLE AS cov, (le - ls) // bs + 1 AS nb
+  FROM (SELECT *, unnest(range(0, (le - ls) // bs + 1)) AS bin FROM lx) x LEFT JOIN cn ON cn.locus_id = x.locus_id AND cn.bin = x.bin),
+wv AS (SELECT *, avg(cov) OVER (PARTITION BY locus_id ORDER BY bin ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS l,
+  avg(cov) OVER (PARTITION BY locus_id ORDER BY bin ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS r FROM pr),
+vl AS (SELECT locus_id, mid AS position, 1.0::DOUBLE - cov / ((l + r) / 2.0::DOUBLE) AS confidence, 'coverage_valley' AS evidence FROM wv
+  WHERE nb >= 7 AND bin >= 3 AND bin < nb - 3 AND l + r > 0 AND 1.0::DOUBLE - cov / ((l + r) / 2.0::DOUBLE) >= 0.5 AND cov < 5),
+pt AS (SELECT locus_id, rev, true AS is_start, CASE WHEN rev THEN e ELSE s END AS pos FROM g
+  UNION ALL SELECT locus_id, rev, false, CASE WHEN rev THEN s ELSE e END FROM g),
+pw AS (SELECT *, lag(pos) OVER (PARTITION BY locus_id, rev, is_start ORDER BY pos) AS prev FROM pt),
+pc AS (SELECT *, sum(CASE WHEN prev IS NULL OR pos - prev > 60 THEN 1 ELSE 0 END) OVER (PARTITION BY locus_id, rev, is_start ORDER BY pos ROWS UNBOUNDED PRECEDING) AS cl FROM pw),
+ec AS (SELECT locus_id, (sum(pos) // count(*))::BIGINT AS position, least(1.0::DOUBLE, count(*) / 10.0::DOUBLE) AS confidence,
+  CASE WHEN is_start THEN 'TSS' ELSE 'TES' END || CASE WHEN rev THEN '_minus' ELSE '_plus' END AS evidence
+  FROM pc GROUP BY locus_id, rev, is_start, cl HAVING count(*) >= 3),
+pts AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY locus_id ORDER BY position, evidence) AS rn FROM (SELECT * FROM vl UNION ALL SELECT * FROM ec))"""
+
+
+@query(
+    "split_clouds",
+    f"""WITH RECURSIVE {SPLIT_POINTS},
+mg AS (SELECT locus_id, rn, 1 AS grp, position, confidence, evidence FROM pts WHERE rn = 1
+  UNION ALL SELECT o.locus_id, o.rn, CASE WHEN abs(o.position - w.position) < 300 THEN w.grp ELSE w.grp + 1 END,
+    CASE WHEN abs(o.position - w.position) < 300 THEN trunc((w.position * w.confidence + o.position * o.confidence) / (w.confidence + o.confidence))::BIGINT ELSE o.position END,
+    CASE WHEN abs(o.position - w.position) < 300 THEN least(w.confidence + o.confidence, 1.0::DOUBLE) ELSE o.confidence END,
+    CASE WHEN abs(o.position - w.position) < 300 THEN w.evidence || '+' || o.evidence ELSE o.evidence END
+  FROM mg w JOIN pts o ON o.locus_id = w.locus_id AND o.rn = w.rn + 1),
+mp AS (SELECT locus_id, grp, max(rn) AS rn FROM mg GROUP BY 1, 2),
+pk AS (SELECT locus_id, position, confidence, evidence, count(*) OVER (PARTITION BY locus_id) AS n,
+  row_number() OVER (PARTITION BY locus_id ORDER BY confidence DESC, position) AS rank FROM mg JOIN mp USING (locus_id, grp, rn)),
+mk AS (SELECT locus_id, position AS pos, evidence FROM pk WHERE n < 2 OR rank <= 2 UNION ALL SELECT locus_id, le, NULL FROM lx),
+fn AS (SELECT locus_id, pos, evidence, lag(pos) OVER w AS prev, row_number() OVER w AS i, count(*) OVER (PARTITION BY locus_id) AS n FROM mk
+  WINDOW w AS (PARTITION BY locus_id ORDER BY pos))
+SELECT locus_id, chrom, coalesce(prev, ls) AS start, pos AS "end",
+  CASE WHEN n = 1 THEN 'no_clear_splits' WHEN evidence IS NULL THEN 'final_segment' ELSE 'split_' || i || ': ' || evidence END AS split_evidence
+FROM fn JOIN lx USING (locus_id)""",
+)
 def _split_clouds(spark, d):
     loci, _ = whole_loci(spark, d)
-    clouds = loci.where("end - start >= 1500").select("locus_id", "chrom", "start", "end")
-    return split_clouds(_full(spark, d), materialize(clouds), expected=3, bin_width=BW)
+    clouds = materialize(loci.select("locus_id", "chrom", "start", "end"))
+    return split_clouds(_full(spark, d), clouds, expected=3, min_bin=40, distance=60, min_points=3, reach=300, bin_width=BW)
+
+
+@query("adaptive_bin_profile", f"WITH {SPLIT_POINTS} SELECT locus_id, mid AS position, round(cov, 6) AS cov FROM pr")
+def _adaptive_bin_profile(spark, d):
+    loci, _ = whole_loci(spark, d)
+    prof = adaptive_bin_profile(_full(spark, d), materialize(loci.select("locus_id", "chrom", "start", "end")), 40, bin_width=BW)
+    return prof.select("locus_id", F.col("mid").alias("position"), F.round("cov", 6).alias("cov"))
 
 
 @query(
