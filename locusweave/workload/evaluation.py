@@ -13,6 +13,7 @@ from locusweave.operators.evaluate import (
     member_table,
     novel_ranking,
     optimal_match,
+    overlapping_pairs,
 )
 from locusweave.operators.interval_join import as_regions, interval_join
 from locusweave.operators.readsets import jaccard_to_reference, seed_reads
@@ -110,6 +111,45 @@ def _optimal_match(spark, d):
     return optimal_match(genes, det)
 
 
+#: Least cost of each overlap island by trying, gene after gene, every locus that is still free; equal sets of used loci keep the cheapest.
+LEAST_COST = f"""{DET},
+iv AS (SELECT family_id, chrom, gs AS s, ge AS e FROM genes UNION ALL SELECT family_id, chrom, ls, le FROM det),
+iw AS (SELECT *, max(e) OVER (PARTITION BY family_id, chrom ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM iv),
+ii AS (SELECT family_id, chrom, s AS isl, coalesce(lead(s) OVER (PARTITION BY family_id, chrom ORDER BY s), 9000000000000) AS nxt
+  FROM (SELECT DISTINCT family_id, chrom, s FROM iw WHERE pe IS NULL OR s >= pe)),
+pi AS (SELECT pr.family_id, ii.chrom, isl, gene_id, list({{'l': locus_id, 'c': round((1 - iou) * 1000000)::BIGINT}}) AS picks
+  FROM pr JOIN det USING (family_id, locus_id) JOIN ii ON ii.family_id = pr.family_id AND ii.chrom = det.chrom AND gs >= isl AND gs < nxt GROUP BY 1, 2, 3, 4),
+go AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY family_id, chrom, isl ORDER BY gene_id) AS rn FROM pi),
+op AS MATERIALIZED (SELECT family_id, chrom, isl, rn, p.l AS l, p.c AS c FROM (SELECT family_id, chrom, isl, rn, unnest(picks) AS p FROM go)
+  UNION ALL SELECT family_id, chrom, isl, rn, NULL, 1000000 FROM go),
+dp AS (SELECT DISTINCT family_id, chrom, isl, 0::BIGINT AS rn, []::VARCHAR[] AS used, 0::BIGINT AS cost FROM go
+  UNION ALL SELECT family_id, chrom, isl, rn, used, min(cost) FROM (
+    SELECT op.family_id, op.chrom, op.isl, op.rn, CASE WHEN l IS NULL THEN dp.used ELSE list_sort(list_append(dp.used, l)) END AS used, dp.cost + c AS cost
+    FROM dp JOIN op ON op.family_id = dp.family_id AND op.chrom = dp.chrom AND op.isl = dp.isl AND op.rn = dp.rn + 1
+    WHERE l IS NULL OR NOT list_contains(dp.used, l)) GROUP BY 1, 2, 3, 4, 5)"""
+
+
+@query(
+    "optimal_match_cost",
+    f"""WITH RECURSIVE {LEAST_COST}, be AS (SELECT family_id, chrom, isl, rn, min(cost) AS cost FROM dp GROUP BY 1, 2, 3, 4)
+SELECT family_id, chrom, sum(cost)::BIGINT AS total_cost, true AS one_to_one
+FROM be JOIN (SELECT family_id, chrom, isl, max(rn) AS rn FROM go GROUP BY 1, 2, 3) USING (family_id, chrom, isl, rn) GROUP BY 1, 2""",
+)
+def _optimal_match_cost(spark, d):
+    genes, det = _detections(spark, d)
+    pairs = materialize(overlapping_pairs(genes, det).withColumn("cost", F.round((1 - F.col("iou")) * 1_000_000).cast("bigint")))
+    got = optimal_match(genes, det).join(pairs, ["family_id", "gene_id", "locus_id"]).groupBy("family_id", "chrom").agg(
+        F.sum("cost").alias("cost"), F.count(F.lit(1)).alias("n"),
+        ((F.count(F.lit(1)) == F.count_distinct("gene_id")) & (F.count(F.lit(1)) == F.count_distinct("locus_id"))).alias("one_to_one"),
+    )
+    wanted = pairs.groupBy("family_id", "chrom").agg(F.count_distinct("gene_id").alias("genes"))
+    # A gene that overlaps detections but gets none costs as much as no match.
+    return wanted.join(got, ["family_id", "chrom"], "left").select(
+        "family_id", "chrom", (F.coalesce("cost", F.lit(0)) + (F.col("genes") - F.coalesce("n", F.lit(0))) * 1_000_000).alias("total_cost"),
+        F.coalesce("one_to_one", F.lit(True)).alias("one_to_one"),
+    )
+
+
 @query(
     "seed_support_of_genes",
     f"""WITH {SEEDS}, {GENES},
