@@ -189,3 +189,22 @@ def evidence_score(multi_seed: Column) -> Column:
 
 def evidence_class(score: Column) -> Column:
     return F.when(score > 0.7, "true_gene").when(score > 0.4, "uncertain").otherwise("false_positive")
+
+
+def validate_loci(alignments: DataFrame, loci: DataFrame, supported: DataFrame, **kw) -> DataFrame:
+    """All loci at once: evidence of each, multi_seed (its locus_id is in ``supported``), score and class."""
+    known = supported.select(KEY).distinct().withColumn("multi_seed", F.lit(True))
+    d = locus_evidence(alignments, loci, **kw).join(known, KEY, "left").na.fill(False, ["multi_seed"])
+    d = d.withColumn("score", evidence_score(F.col("multi_seed")))
+    return d.withColumn("class", evidence_class(F.col("score")))
+
+
+def validate_advanced(alignments: DataFrame, pairs: DataFrame, loci: DataFrame, max_divergence: float = 0.05, **kw) -> DataFrame:
+    """``pairs`` (seed_id, target_id) of loci with their advanced similarity and both feature rows as structs.
+
+    The features of each locus are computed once, however many pairs it is in.
+    """
+    rows = advanced_features(alignments, loci, max_divergence, **kw)
+    of = lambda role: rows.select(F.col(KEY).alias(f"{role}_id"), F.struct(*rows.columns).alias(role))
+    both = pairs.join(of("seed"), "seed_id").join(of("target"), "target_id")
+    return both.withColumn("similarity", advanced_similarity("seed", "target"))

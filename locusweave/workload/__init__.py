@@ -30,4 +30,5 @@ def load() -> None:
         modes,
         reads,
         transcripts,
+        validation,
     )
