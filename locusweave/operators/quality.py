@@ -1,9 +1,10 @@
 """Shape scores of coverage profiles and combined validation scores."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusweave.operators.coverage import coverage_fractional
+from locusweave.session import materialize
 
 KEY = "locus_id"
 
@@ -11,11 +12,11 @@ KEY = "locus_id"
 def coverage_quality(profile: DataFrame, bin_size: int) -> DataFrame:
     """(locus_id, peak_height, peak_width, symmetry, left_slope, right_slope, score) per profile.
 
-    The peak is the last maximum.  All parts are plain aggregates once every bin knows the peak.
+    The peak is the last maximum.  All parts are plain aggregates once every bin knows the peak, so no task holds a locus.
     """
-    per = Window.partitionBy(KEY)
-    top = F.max(F.struct("cov", "bin")).over(per)
-    d = profile.withColumn("p", top).withColumn("n", F.count(F.lit(1)).over(per))
+    profile = materialize(profile.select(KEY, "bin", "cov"))
+    top = profile.groupBy(KEY).agg(F.max(F.struct("cov", "bin")).alias("p"), F.count(F.lit(1)).alias("n"))
+    d = profile.join(top, KEY)
     h, at = F.col("p.cov"), F.col("p.bin")
     k = F.least(F.lit(3), F.floor(F.col("n") / 4))
     low = F.col("cov") < h / 2

@@ -354,9 +354,7 @@ def _split_by_junctions(spark, d):
     return segs.select("locus_id", "start", "end")
 
 
-@query(
-    "coverage_quality",
-    f"""WITH {ALN}, {LOCI}, {FRAC},
+QUALITY = f"""{ALN}, {LOCI}, {FRAC},
 top AS (SELECT locus_id, max(cov) AS h, count(*) AS n FROM prof GROUP BY 1),
 pk AS (SELECT locus_id, h, n, least(3, n // 4) AS k, max(bin) AS pkbin FROM prof JOIN top USING (locus_id) WHERE cov = h GROUP BY ALL),
 s AS (SELECT locus_id, h, n, k, pkbin,
@@ -367,7 +365,12 @@ s AS (SELECT locus_id, h, n, k, pkbin,
 q AS (SELECT locus_id, h, (coalesce(hi, pkbin) - coalesce(lo, pkbin)) * {BIN} AS width,
   CASE WHEN l + r > 0 THEN abs(l - r) / (l + r) ELSE 1 END AS sym,
   CASE WHEN k > 0 AND pkbin > k THEN least(1, greatest(0, (h - head / k) / pkbin / 5)) ELSE 0 END AS lsl,
-  CASE WHEN k > 0 AND pkbin + k < n THEN least(1, greatest(0, (h - tail / k) / (n - pkbin) / 5)) ELSE 0 END AS rsl FROM s)
+  CASE WHEN k > 0 AND pkbin + k < n THEN least(1, greatest(0, (h - tail / k) / (n - pkbin) / 5)) ELSE 0 END AS rsl FROM s)"""
+
+
+@query(
+    "coverage_quality",
+    f"""WITH {QUALITY}
 SELECT locus_id, CAST(width AS BIGINT) AS peak_width, round(sym + 1e-9, 5) AS symmetry,
   round(CASE WHEN h > 0 THEN least(1, h / 50) * 0.3 + (lsl + rsl) / 2 * 0.4 + (1 - sym) * 0.3 ELSE 0 END + 1e-9, 5) AS score FROM q""",
 )

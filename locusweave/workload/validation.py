@@ -3,13 +3,16 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from locusweave.operators.features import advanced_features, advanced_filter, validate_advanced, validate_loci
+from locusweave.operators.coverage import coverage_fractional
+from locusweave.operators.features import advanced_features, advanced_filter, validate_advanced, validate_loci, validation
 from locusweave.operators.filters import single_copy_seeds
-from locusweave.operators.readsets import seed_reads
+from locusweave.operators.quality import coverage_quality
+from locusweave.operators.readsets import jaccard_to_reference, seed_reads
 from locusweave.session import materialize
 from locusweave.sources import tables
 from locusweave.workload import query
 from locusweave.workload.base import kept_loci, r6
+from locusweave.workload.coverage import BIN, QUALITY
 from locusweave.workload.sql import ALN, LOCI, SEEDS
 from locusweave.workload.transcripts import FULL
 
@@ -108,3 +111,31 @@ def _advanced_validation(spark, d):
     pairs = materialize(loci.select(F.col("locus_id").alias("seed_id"), nxt.alias("target_id")).where("target_id IS NOT NULL"))
     v = validate_advanced(_tagged(spark, d), pairs, loci, bin_width=BW)
     return v.select("seed_id", "target_id", r6("similarity"))
+
+
+@query(
+    "layered_validation",
+    f"""WITH {QUALITY}, {SEEDS}, {READS_OF_SEEDS},
+ns AS (SELECT locus_id, count(DISTINCT seed_ord) AS n_seeds, count(DISTINCT read_id) AS x FROM sr JOIN members USING (read_id) GROUP BY 1),
+qv AS (SELECT q.locus_id, sym, lsl, rsl, CASE WHEN h > 0 THEN least(1, h / 50) * 0.3::DOUBLE + (lsl + rsl) / 2 * 0.4::DOUBLE + (1 - sym) * 0.3::DOUBLE ELSE 0 END AS score,
+  coalesce(n_seeds, 0) AS n_seeds, coalesce(x, 0)::DOUBLE / (nr + (SELECT count(DISTINCT read_id) FROM sr) - coalesce(x, 0)) AS jaccard,
+  CASE WHEN n_seeds > 0 THEN least(1.0, n_seeds / 5.0)::DOUBLE END AS isoseq FROM q JOIN sizes USING (locus_id) LEFT JOIN ns USING (locus_id)),
+qc AS (SELECT *, CASE WHEN score >= 0.8 AND sym < 0.3 AND lsl > 0.5 AND rsl > 0.5 THEN 'High' WHEN score >= 0.5 THEN 'Medium' ELSE 'Low' END AS cls FROM qv),
+qt AS (SELECT *, (CASE cls WHEN 'High' THEN 1.0 WHEN 'Medium' THEN 0.6 ELSE 0.2 END * 0.3 + least(jaccard, 1.0) * 0.2 + coalesce(isoseq * 0.3, 0)
+  + CASE WHEN n_seeds >= 2 THEN 0.2 ELSE 0 END)::DOUBLE / (0.5 + CASE WHEN isoseq IS NULL THEN 0 ELSE 0.3 END + CASE WHEN n_seeds >= 2 THEN 0 ELSE 0.2 END)::DOUBLE AS norm FROM qc)
+SELECT locus_id, cls AS coverage_confidence, n_seeds >= 2 AS multi_seed, round(norm + 1e-9, 5) AS normalized_score,
+  CASE WHEN norm >= 0.8 THEN 'High' WHEN norm >= 0.5 THEN 'Medium' ELSE 'Low' END AS confidence,
+  score >= 0.4 AND jaccard >= 0.01 AND coalesce(isoseq >= 0.6, true) AS is_valid FROM qt""",
+)
+def _layered_validation(spark, d):
+    loci, members = kept_loci(spark, d)
+    spans = loci.select("locus_id", "chrom", "start", "end")
+    prof = coverage_fractional(tables.alignments(spark, d), spans, BIN, bin_width=BW)
+    reads = materialize(seed_reads(tables.alignments(spark, d), tables.seeds(spark, d), bin_width=BW))
+    seeds = reads.join(members, "read_id").groupBy("locus_id").agg(F.count_distinct("seed_ord").alias("n_seeds"))
+    sim = jaccard_to_reference(members, reads.select("read_id").distinct()).select("locus_id", "jaccard")
+    scored = coverage_quality(prof, BIN).join(sim, "locus_id").join(seeds, "locus_id", "left").na.fill(0, ["n_seeds"])
+    v = validation(scored.withColumn("isoseq", F.when(F.col("n_seeds") > 0, F.least(F.lit(1.0), F.col("n_seeds") / 5.0))))
+    return v.select(
+        "locus_id", "coverage_confidence", "multi_seed", F.round(F.col("normalized_score") + 1e-9, 5).alias("normalized_score"), "confidence", "is_valid"
+    )
