@@ -139,3 +139,14 @@ def test_long_alignments_spread_over_levels(spark):
     got = sorted(tuple(r) for r in ij.interval_join(df, regions, bin_width=1024).collect())
     want = sorted((*a, b.q_start, b.q_end) for a in rows for b in regions.collect() if a[1] <= b.q_end and a[2] >= b.q_start)
     assert got == want
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_exploded_regions_are_never_broadcast(spark, tmp_path, how):
+    spark.createDataFrame(random_alignments(3), ALN).write.parquet(f"{tmp_path}/a")
+    regions = spark.createDataFrame([(c, s, e) for _, _, c, s, e in random_alignments(4, 10)], "chrom string, q_start long, q_end long")
+    regions.write.parquet(f"{tmp_path}/r")
+    joined = interval_join(spark.read.parquet(f"{tmp_path}/a"), spark.read.parquet(f"{tmp_path}/r"), how, bin_width=64)
+    plan = joined._jdf.queryExecution()
+    joined.collect()
+    assert "Broadcast" not in plan.executedPlan().toString() and "SortMergeJoin" in plan.executedPlan().toString()
