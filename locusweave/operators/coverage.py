@@ -57,24 +57,36 @@ def _clipped(
 def _profile(
     events: DataFrame, loci: DataFrame, keys: list[str], by: list[str], bin_size: int
 ) -> DataFrame:
-    """Running sums over ``events`` (keys, by, bin, part, step) on the full bin spine."""
+    """Running sums over ``events`` (keys, by, bin, part, step) on the full bin spine, with start and end of the locus.
+
+    Only bins with an event and the first bin of each tile are moved; a bin's value holds until the next of them,
+    and the bins between are filled in last, after the join with the loci.
+    """
     n_bins = F.expr(f"(end - start) div {bin_size}")
     zero = F.lit(0).cast("bigint")
-    # Tiles first, then their bins, so that no array is longer than a tile.
-    spine = loci.select(*keys, n_bins.alias("_last"), F.explode(F.sequence(zero, tile_of(n_bins))).alias("_tile")).select(
-        *keys, F.explode(F.sequence(F.col("_tile") * TILE, F.least("_last", (F.col("_tile") + 1) * TILE - 1))).alias("bin")
-    ).select(*keys, "bin", zero.alias("part"), zero.alias("step"))
-    if by:
-        spine = spine.withColumn(by[0], F.explode(F.array(F.lit("+"), F.lit("-"))))
-    all_events = events.select(*keys, *by, "bin", "part", "step").unionByName(
-        spine.select(*keys, *by, "bin", "part", "step")
+    heads = loci.select(*keys, n_bins.alias("_last"), F.explode(F.sequence(zero, tile_of(n_bins))).alias("_tile")).select(
+        *keys, (F.col("_tile") * TILE).alias("bin"), zero.alias("part"), zero.alias("step"),
+        F.least("_last", (F.col("_tile") + 1) * TILE - 1).alias("_last"),
     )
+    if by:
+        heads = heads.withColumn(by[0], F.explode(F.array(F.lit("+"), F.lit("-"))))
+    cols = [*keys, *by, "bin", "part", "step", "_last"]
+    all_events = events.withColumn("_last", F.lit(None).cast("bigint")).select(*cols).unionByName(heads.select(*cols))
     per_bin = all_events.groupBy(*keys, *by, tile_of(F.col("bin")).alias("_tile"), "bin").agg(
-        F.sum("part").alias("part"), F.sum("step").alias("step")
+        F.sum("part").alias("part"), F.sum("step").alias("step"), F.max("_last").alias("_last")
     )
-    w = Window.partitionBy(*keys, *by, "_tile").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    summed = per_bin.withColumn("bp", F.col("part") + F.sum("step").over(w))
-    return summed.select(*keys, *by, "bin", "bp")
+    tile = Window.partitionBy(*keys, *by, "_tile").orderBy("bin")
+    w = tile.rowsBetween(Window.unboundedPreceding, 0)
+    # The tile's last bin comes with its first; the next bin with an event ends a run before it.
+    runs = per_bin.select(
+        *keys, *by, "bin", "part", F.sum("step").over(w).alias("_level"),
+        F.coalesce(F.lead("bin").over(tile) - 1, F.max("_last").over(w), "bin").alias("_to"),
+        F.max("_last").over(w).alias("_last"),
+    ).join(loci.select(*keys, "start", "end"), keys)
+    to = F.greatest("bin", F.least("_to", F.coalesce("_last", "bin")))
+    filled = runs.withColumn("_first", F.col("bin")).withColumn("bin", F.explode(F.sequence("bin", to)))
+    value = F.col("_level") + F.when(F.col("bin") == F.col("_first"), F.col("part")).otherwise(zero)
+    return filled.select(*keys, *by, "bin", value.alias("bp"), "start", "end")
 
 
 def coverage_fractional(
@@ -102,9 +114,7 @@ def coverage_fractional(
     events = c.withColumn(
         "ev", F.explode(F.when(F.col("s") == F.col("e"), same).otherwise(F.concat(F.array(first, last), whole)))
     ).select(*keys, *by, "ev.*")
-    prof = _profile(events, loci, keys, by, bin_size).join(
-        loci.select(*keys, "start", "end"), keys
-    )
+    prof = _profile(events, loci, keys, by, bin_size)
     span = F.least(F.lit(bin_size).cast("bigint"), F.col("end") - F.col("start") - F.col("bin") * bin_size)
     return prof.select(
         *keys,
@@ -132,7 +142,7 @@ def coverage_counts(
     c = c.withColumn("last", last).withColumn("ev", F.explode(active(F.col("s"), F.col("e") + 1, F.lit(1))))
     # An alignment up to the last bin of its locus falls in a bin that is not there.
     events = c.where("ev.bin <= last").select(*keys, *by, "ev.*")
-    prof = _profile(events, loci, keys, by, bin_size).join(loci.select(*keys, "start"), keys)
+    prof = _profile(events, loci, keys, by, bin_size)
     return prof.select(
         *keys,
         *by,

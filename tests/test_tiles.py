@@ -42,6 +42,20 @@ def test_profiles_do_not_depend_on_tiles(spark, monkeypatch, tile):
     assert len(frac) == 2 * len(count) == 2 * sum((e - s) // 30 + 1 for _, _, s, e in places)
 
 
+def test_bins_without_events_are_filled_after_the_last_exchange(spark):
+    a, loci, _, _ = world(spark)
+    for df in (coverage.coverage_fractional(a, loci, 30), coverage.coverage_counts(a, loci, 30)):
+        top = df._jdf.queryExecution().executedPlan().toString().partition("Generate explode(sequence(bin")
+        assert top[1] and not re.search("Exchange|Window|Join|Aggregate", top[0])
+
+
+def test_loci_that_share_a_key_share_the_longest_spine(spark):
+    a = spark.createDataFrame([(1, "c", 35, 65), (2, "c", 990, 1000)], "read_id long, chrom string, start long, end long")
+    loci = spark.createDataFrame([("a", "c", 0, 90), ("a", "c", 0, 150), (None, "c", 0, 30)], LOCUS)
+    got = sorted((r["bin"], r["cov"]) for r in coverage.coverage_counts(a, loci, 30).collect())
+    assert got == sorted([(b, 2.0 if b in (1, 2) else 0.0) for b in range(6)] * 2)
+
+
 def test_peaks_and_valleys_do_not_depend_on_tiles(spark, monkeypatch):
     r = random.Random(5)
     values = [(k, b, 1000 + 10 * b, float(r.choice([0, 1, 2, 5, 9, 30, 200]))) for k in ("a", "b") for b in range(90 if k == "a" else 11)]
