@@ -1,4 +1,8 @@
-"""Toxicity by compression distance: windows are compressed with a toxic and an ordinary zstandard dictionary."""
+"""Toxicity by compression distance: windows are compressed with a toxic and an ordinary zstandard dictionary.
+
+Words are coded so that two of them share bytes only as far as they begin alike.  Toxic words may be known by their
+beginning only, and what such a beginning has in common with the middle of ordinary words then saves nothing.
+"""
 
 import re
 from collections.abc import Iterator
@@ -25,27 +29,48 @@ ANCHOR = bytes(range(1, 31))
 #: Follows every window, as zstandard looks for no match that begins in the last bytes of a block.
 TAIL = ANCHOR[:10]
 #: Bytes a window must save to count as a hit.
-HIT = 4
+HIT = 3
+#: Beginnings of words, in characters, that may stand in a dictionary; whole words of any length may.
+BEGINNING = range(4, 11)
+#: Logarithm of how much more frequent a dictionary's pieces are in its class.
+LEAST_RATE = 2.0
+#: The weakest piece of the toxic dictionary has this part of the strongest one's weight.
+FLOOR = 20
+#: Best pieces that are looked at for each dictionary; many of them begin each other.
+SHORTLIST = 4096
+
+_POWERS = np.cumprod(np.full(1 << 16, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
 
 
 def plain(text: str | None) -> bytes:
     return _GAP.sub(b" ", b" " + (text or "").lower().encode("utf-8", "surrogatepass") + b" ")
 
 
+def coded(data: bytes) -> bytes:
+    """``data``, which begins with a space, with every byte of a word replaced by a hash of the word up to there."""
+    c = np.frombuffer(data, np.uint8)
+    at, gap = np.arange(len(c)), c == 32
+    start = np.maximum.accumulate(np.where(gap, at, 0))
+    upto = np.cumsum(c * _POWERS[(at - start) % len(_POWERS)], dtype=np.uint64)
+    h = upto - upto[start]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return np.where(gap, 32, 33 + (h >> np.uint64(40)) % np.uint64(223)).astype(np.uint8).tobytes()
+
+
 def windows(text: str | None) -> list[bytes]:
-    data = plain(text)
+    data = coded(plain(text))
     return [ANCHOR + data[i:i + WINDOW] + TAIL for i in range(0, max(1, len(data) - WINDOW + STEP), STEP)]
 
 
-def dictionary(words: list[str]) -> zstandard.ZstdCompressionDict:
-    """A content dictionary; the most telling words come last, where matches are cheapest."""
-    content = b"".join(f" {w} ".encode() for w in reversed(words))
+def dictionary(pieces: list[str]) -> zstandard.ZstdCompressionDict:
+    """A content dictionary; the most telling pieces come last, where matches are cheapest."""
+    content = b"".join(coded(f" {p}".encode("utf-8", "surrogatepass")) for p in reversed(pieces))
     return zstandard.ZstdCompressionDict(content + ANCHOR, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 @dataclass
 class Distance:
-    """The two dictionaries, by their words, and the calibration of the window differences."""
+    """The two dictionaries, by their pieces, and the calibration of the window differences."""
 
     toxic: list[str]
     ordinary: list[str]
@@ -82,9 +107,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, mod: int, held: int, most:
 
 
 def contrasts(rows: DataFrame) -> DataFrame:
-    """(word, gain): positive where a word is typical of toxic text, negative where of ordinary text.
+    """(piece, gain): positive where a piece is typical of toxic text, negative where of ordinary text.
 
-    A word counts once for each different word before it, so a passage that many documents copy counts once.
+    A piece is a word with a space after it or a word's beginning.  A word counts once for each different word before
+    it, so a passage that many documents copy counts once; a beginning counts as often as the words that have it.  The
+    gain is the contrast times the bytes a match of the piece covers.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,17 +132,33 @@ def contrasts(rows: DataFrame) -> DataFrame:
     ).agg(F.lit(1).alias("one"))
     words = pairs.groupBy("word").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("o"))
     totals = words.agg((F.sum("t") + 1).alias("nt"), (F.sum("o") + 1).alias("no"))
+    lengths = F.filter(F.lit(list(BEGINNING)), lambda n: n < F.length("word"))
+    beginnings = F.transform(lengths, lambda n: F.substring(F.col("word"), F.lit(1), n))
+    pieces = words.select(F.explode(F.concat(F.array(F.concat("word", F.lit(" "))), beginnings)).alias("piece"), "t", "o")
+    counts = pieces.groupBy("piece").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
     rate = F.log((F.col("t") + 0.5) / F.col("nt")) - F.log((F.col("o") + 0.5) / F.col("no"))
     times = F.when(rate > 0, F.col("t")).otherwise(F.col("o"))
-    return words.where("t + o >= 3").join(F.broadcast(totals)).select("word", (times * rate).alias("gain"))
+    long_enough = F.octet_length("piece") >= BEGINNING[0]
+    return counts.where((F.col("t") + F.col("o") >= 3) & long_enough).join(F.broadcast(totals)).where(F.abs(rate) >= LEAST_RATE).select(
+        "piece", (times * rate * F.octet_length("piece")).alias("gain")
+    )
+
+
+def apart(pieces: list[str], most: int) -> list[str]:
+    """The first ``most`` pieces of which none begins an earlier one or is begun by it."""
+    kept: list[str] = []
+    for p in pieces:
+        if len(kept) < most and not any(p.startswith(k) or k.startswith(p) for k in kept):
+            kept.append(p)
+    return kept
 
 
 def train(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0, most: int = 5_000, most_words: int = 256) -> Distance | float:
     """Both dictionaries and the calibration; without rows of both classes the share of toxic ones.
 
-    The toxic dictionary holds the words whose contrast is at least a fifth of the strongest one's, the ordinary
-    dictionary the words most typical of ordinary text, to the same size.  ``most`` bounds the labelled documents of
-    each class that are learnt from, ``most_words`` a dictionary.
+    The toxic dictionary holds the pieces whose gain is at least a twentieth of the strongest one's, the ordinary
+    dictionary the pieces most typical of ordinary text, to the same size.  ``most`` bounds the labelled documents of
+    each class that are learnt from, ``most_words`` the pieces of a dictionary.
     """
     rows, counts = training_rows(docs, labels, mod, held, most)
     n0, n1 = counts.get(0, 0), counts.get(1, 0)
@@ -123,10 +166,10 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0, most:
         return float(n1 / (n0 + n1)) if n0 + n1 else 0.0
     rows = materialize(rows)
     gains = materialize(contrasts(rows))
-    top = gains.where("gain > 0").orderBy(F.desc("gain"), "word").limit(most_words).collect()
-    low = gains.where("gain < 0").orderBy("gain", "word").limit(most_words).collect()
-    toxic = [r.word for r in top if r.gain * 5 >= top[0].gain]
-    model = Distance(toxic, [r.word for r in low[: len(toxic)]])
+    top = gains.where("gain > 0").orderBy(F.desc("gain"), "piece").limit(SHORTLIST).collect()
+    low = gains.where("gain < 0").orderBy("gain", "piece").limit(SHORTLIST).collect()
+    toxic = apart([r.piece for r in top if r.gain * FLOOR >= top[0].gain], most_words)
+    model = Distance(toxic, apart([r.piece for r in low], len(toxic)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = model.compressors()

@@ -49,3 +49,29 @@ def test_without_both_classes(spark, frames):
     assert {r.score for r in toxicity.toxicity_scores(docs, labels.where("toxic = 0")).collect()} == {0.0}
     assert {r.score for r in toxicity.toxicity_scores(docs, labels.limit(0)).collect()} == {0.0}
     assert toxicity.toxicity_scores(docs.limit(0), labels).count() == 0
+
+
+def test_words_known_by_their_beginning_only(spark):
+    rng = random.Random(9)
+    parts = ["an", "der", "ing", "tha", "ou", "re", "ti", "sh", "ble", "er", "gor", "bash"]
+    word = lambda n: "".join(rng.choice(parts) for _ in range(n))
+    rows = []
+    for i in range(400):
+        words, toxic = [word(rng.randint(1, 4)) for _ in range(rng.randint(40, 200))], int(rng.random() < 0.25)
+        # The toxic beginning stands inside ordinary words, too, and each toxic word has another end.
+        for _ in range(max(3, len(words) // 25)):
+            words.insert(rng.randrange(len(words)), ("" if toxic else "re") + "gorbash" + word(rng.randint(1, 3)))
+        rows.append((i, " ".join(words), toxic))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    predicted = {r.doc_id: r.predicted for r in toxicity.toxicity_scores(docs, labels).collect() if r.held_out}
+    truth = {i: y for i, _, y in rows}
+    for y in (0, 1):
+        same = [predicted[i] == y for i in predicted if truth[i] == y]
+        assert len(same) > 5 and sum(same) >= 0.9 * len(same)
+
+
+def test_coded_words_share_bytes_as_far_as_they_begin_alike():
+    a, b, c = (toxicity.coded(f" {w} ".encode()) for w in ("gorbashing", "gorbasher", "regorbashing"))
+    assert a[:8] == b[:8] and a[8:9] != b[8:9] and len(a) == 12
+    assert not any(a[1:][i:i + 3] in c for i in range(8))
