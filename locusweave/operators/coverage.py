@@ -36,7 +36,10 @@ def active(first: Column, stop: Column, height: Column) -> Column:
     zero = F.lit(0).cast("bigint")
     event = lambda b, h: F.struct(b.cast("bigint").alias("bin"), zero.alias("part"), h.cast("bigint").alias("step"))
     tiles = F.sequence(tile_of(first), tile_of(stop - 1))
-    ups = F.transform(tiles, lambda t: event(F.greatest(first, t * TILE), height))
+    # Nearly all steps lie in one tile and need no function per element, which Spark does not compile.
+    ups = F.when(tile_of(first) == tile_of(stop - 1), F.array(event(first, height))).otherwise(
+        F.transform(tiles, lambda t: event(F.greatest(first, t * TILE), height))
+    )
     downs = F.when(stop % TILE != 0, F.array(event(stop, -height))).otherwise(F.array().cast("array<struct<bin:bigint,part:bigint,step:bigint>>"))
     return F.when(stop > first, F.concat(ups, downs)).otherwise(F.array().cast("array<struct<bin:bigint,part:bigint,step:bigint>>"))
 

@@ -8,7 +8,8 @@ skew join, as the alignment side carries no later requirement on that key.  The
 the planner knows are those of the regions before they are exploded.
 
 The levels widen by 4 until one bin spans the whole axis, so every length has a level of its own and no bin collects
-all long alignments.
+all long alignments.  Regions are exploded only over the levels that hold an alignment, of all 12 or so: one aggregate
+over the spans tells which.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -46,18 +47,25 @@ def _at_level(bins: Column, level: int) -> Column:
     return F.transform(bins, lambda b: F.struct(F.lit(level).alias("l"), b.alias("b")))
 
 
-def _with_cover_keys(df: DataFrame, start: str, end: str, bin_width: int) -> DataFrame:
-    """All (level, bin) keys under which a partner of this region can be stored."""
+def _used_levels(df: DataFrame) -> Column:
+    """A number with bit i set if level i holds a row of ``df``, which has its point keys."""
+    return df.agg(F.coalesce(F.bit_or(F.expr(f"shiftleft(1, {_LVL})")), F.lit(0))).scalar()
+
+
+def _with_cover_keys(df: DataFrame, start: str, end: str, bin_width: int, used: Column) -> DataFrame:
+    """All (level, bin) keys under which a partner of this region can be stored, on the ``used`` levels."""
     keys = []
     for i, w in enumerate(_widths(bin_width)):
         lo = F.floor(F.col(start) / F.lit(w)) - 1
         hi = F.greatest(F.floor(F.col(end) / F.lit(w)), lo)
-        keys.append(_at_level(F.sequence(lo, hi), i))
+        bins = F.when(F.col("_used").bitwiseAND(1 << i) != 0, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
+        keys.append(_at_level(bins, i))
     return (
-        df.withColumn("_k", F.explode(F.concat(*keys)))
+        df.withColumn("_used", used)
+        .withColumn("_k", F.explode(F.concat(*keys)))
         .withColumn(_LVL, F.col("_k.l"))
         .withColumn(_BIN, F.col("_k.b"))
-        .drop("_k")
+        .drop("_k", "_used")
     )
 
 
@@ -81,8 +89,9 @@ def interval_join(
     reg = regions
     if pad:
         reg = reg.withColumn(rs, F.col(rs) - pad).withColumn(re, F.col(re) + pad)
-    left = _with_point_key(items, *item_cols, bin_width).alias("_items")
-    right = _with_cover_keys(reg, rs, re, bin_width).alias("_regions")
+    keyed = _with_point_key(items, *item_cols, bin_width)
+    left = keyed.alias("_items")
+    right = _with_cover_keys(reg, rs, re, bin_width, _used_levels(keyed)).alias("_regions")
     cond = _same_keys((*keys, _LVL, _BIN))
     pred = {"inclusive": overlaps_inclusive, "half_open": overlaps_half_open}[mode]
     cond = cond & pred(

@@ -11,9 +11,9 @@ GAP, MIN_ROWS = 100, 5
 
 
 def whole_loci(spark, d):
-    """All clustered loci (locus_id, chrom, start, end, n_rows) and their read sets."""
+    """All clustered loci (locus_id, chrom, start, end, n_rows), written once, and their read sets."""
     a = tables.alignments(spark, d)
-    found = (
+    found = materialize(
         islands(a, GAP).where(F.col("n_rows") >= MIN_ROWS).withColumn("locus_id", locus_id())
     )
     members = island_members(a, found, cols=("locus_id",)).select("locus_id", "read_id")
@@ -22,7 +22,7 @@ def whole_loci(spark, d):
 
 def kept_loci(spark, d):
     found, members = whole_loci(spark, d)
-    return materialize(found), materialize(members)
+    return found, materialize(members)
 
 
 def big(col: str):

@@ -150,3 +150,27 @@ def test_exploded_regions_are_never_broadcast(spark, tmp_path, how):
     plan = joined._jdf.queryExecution()
     joined.collect()
     assert "Broadcast" not in plan.executedPlan().toString() and "SortMergeJoin" in plan.executedPlan().toString()
+
+
+ALN_SHORT = "read_id long, chrom string, start long, end long"
+
+
+def test_regions_are_exploded_over_used_levels_only(spark):
+    from locusweave.operators import interval_join as ij
+
+    ln = [(i, "c", 500 * i, 500 * i + 900) for i in range(40)]
+    long = [(90, "c", 1000, 9000), (91, "c", 3000, 700_000), (92, "d", 5, 6), (None, "c", None, None)]
+    region = spark.createDataFrame([("c", 2048, 4000), ("c", 9001, 9500), ("c", 650_000, 650_000), (None, 1, 2)], "chrom string, q_start long, q_end long")
+
+    def rows_of(items):
+        keyed = ij._with_point_key(spark.createDataFrame(items, ALN_SHORT), "start", "end", 1024)
+        return ij._with_cover_keys(region.where("q_start = 2048"), "q_start", "q_end", 1024, ij._used_levels(keyed)).count()
+
+    assert rows_of(ln) == 3 and rows_of([]) == 0 and rows_of(ln + [(90, "c", 1000, 9000)]) == 5
+    for items in (ln, ln + long, long, []):
+        df = spark.createDataFrame(items, ALN_SHORT)
+        want = {(r, c, s, q.q_start) for r, c, s, e in items for q in region.collect() if c == q.chrom and s is not None and s <= q.q_end and e >= q.q_start}
+        got = ij.interval_join(df, region, bin_width=1024)
+        assert sorted((r.read_id, r.chrom, r.start, r.q_start) for r in got.collect()) == sorted(want)
+        lost = ij.interval_join(df, region, "left_anti", bin_width=1024)
+        assert lost.count() == len(items) - len({x[:3] for x in want})

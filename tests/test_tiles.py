@@ -116,3 +116,23 @@ def test_window_jaccards_count_distinct_reads(spark, monkeypatch, window, step,
                       spark.createDataFrame([(i, g) for i in sorted(ref) for g in "abex"], "read_id long, group string")):
         got = {(x["locus_id"], x["side"], x["pos"]): x["jaccard"] for x in refine.window_jaccards(a, loci, reference, p).collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_registered_profiles_compute_their_loci_once(spark, sf_dir):
+    from locusweave.workload import base
+
+    loci, members = base.whole_loci(spark, sf_dir)
+    assert not re.search("Exchange|Window", loci._jdf.queryExecution().executedPlan().toString())
+    assert loci.count() and set(members.columns) == {"locus_id", "read_id"}
+
+
+def test_steps_over_several_tiles_match_steps_in_one(spark, monkeypatch):
+    spans = spark.createDataFrame([(0, 3), (2, 9), (5, 5), (4, 8), (7, 6)], "a long, b long")
+    for tile in (2, 4, 1000):
+        monkeypatch.setattr(coverage, "TILE", tile)
+        ev = spans.select("a", "b", F.explode(coverage.active(F.col("a"), F.col("b"), F.lit(1))).alias("ev")).select("a", "b", "ev.*")
+        events = [(r.a, r.b, r.bin, r.step) for r in ev.collect()]
+        for a, b in [(0, 3), (2, 9), (5, 5), (4, 8), (7, 6)]:
+            own = [(n, s) for x, y, n, s in events if (x, y) == (a, b)]
+            level = [sum(s for n, s in own if k // tile * tile <= n <= k) for k in range(12)]
+            assert level == [int(a <= k < b) for k in range(12)]
