@@ -147,12 +147,13 @@ def _meet(key_bits: int, close: int, everyone: bool = False, chunk: int = CHUNK)
             bits = np.bitwise_count(fp[own] ^ fp[leader])
             close_by = bits <= close
             linked = close_by & ~leading & ((group[own] != group[leader]) | (group[own] == 0))
-            found.append(np.stack([node[own[linked]], node[leader[linked]], bits[linked].astype(np.uint64)]))
+            toward = np.where(group[leader] == 0, node[leader], group[leader])
+            found.append(np.stack([node[own[linked]], node[leader[linked]], bits[linked].astype(np.uint64), toward[linked]]))
             rest = ~leading & ~close_by
             v, own = v[rest], own[rest]
-        both = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((3, 0), np.uint64)
+        both = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((4, 0), np.uint64)
         if both.shape[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in both], ["src", "dst", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in both], ["src", "dst", "bits", "toward"])
 
     def all_pairs(v, own, whole_key, node, fp, group) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((group[own], v))
@@ -165,8 +166,8 @@ def _meet(key_bits: int, close: int, everyone: bool = False, chunk: int = CHUNK)
             ok = here & (np.bitwise_count(fp[a] ^ fp[b]) <= close)
             a, b = node[a[ok]], node[b[ok]]
             if len(a):
-                columns = [np.minimum(a, b), np.maximum(a, b), np.bitwise_count(fp[own[i[ok]]] ^ fp[own[j[ok]]])]
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["src", "dst", "bits"])
+                columns = [np.minimum(a, b), np.maximum(a, b), np.bitwise_count(fp[own[i[ok]]] ^ fp[own[j[ok]]]), group[own[j[ok]]]]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["src", "dst", "bits", "toward"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64) for _ in range(5)]
@@ -184,7 +185,9 @@ def _meet(key_bits: int, close: int, everyone: bool = False, chunk: int = CHUNK)
 
 
 def candidates(classes: DataFrame, key_bits: int, close: int, everyone: bool = False) -> DataFrame:
-    """Links (src, dst) between nodes of different groups whose keys meet in a table and whose fingerprints differ in ``close`` bits at most.
+    """Links (src, dst, bits, toward) between nodes of different groups whose keys meet in a table and whose fingerprints differ in ``close`` bits at most.
+
+    ``toward`` is the group of ``dst``, or ``dst`` itself while it has none.
 
     ``classes`` has one row (node, fp, keys, group) per set of shingles, with group 0 for none yet.  ``everyone``
     gives all such pairs (src < dst; each text has a group then), otherwise each text is linked to those that lead.  Rows travel to (table, leading key bits) and are sorted
@@ -197,7 +200,7 @@ def candidates(classes: DataFrame, key_bits: int, close: int, everyone: bool = F
     dest = F.shiftleft(F.col("table").cast("bigint"), PREFIX) + F.shiftright("key", low).bitwiseXOR(F.col("m").cast("bigint"))
     return (
         sent.select(dest.alias("dest"), "key", "node", "fp", "group").repartition(F.col("dest")).sortWithinPartitions("dest")
-        .mapInArrow(_meet(key_bits, close, everyone), "src long, dst long, bits long")
+        .mapInArrow(_meet(key_bits, close, everyone), "src long, dst long, bits long, toward long")
     )
 
 
@@ -280,13 +283,15 @@ def groups(
     first = candidates(classes.select("node", "fp", F.slice("keys", 1, ahead).alias("keys"), none.alias("group")), key_bits, close)
     ahead_of_all = materialize(of_texts(first.groupBy("src").agg(F.min_by("dst", F.struct("bits", "dst")).alias("dst"))))
     linked = similar(ahead_of_all)
-    # A text's group so far is the one it was linked to; those linked to the same one need no links among themselves.
-    mine = linked.groupBy(F.col("src_node").alias("node")).agg(F.min("dst_node").alias("group"))
-    hubs = linked.select(F.col("dst_node").alias("node")).distinct().join(mine, "node", "left_anti").withColumn("group", F.col("node"))
-    grouped = classes.join(mine.unionByName(hubs), "node", "left").select("node", "fp", "keys", F.coalesce("group", none).alias("group"))
-    to_leaders = materialize(of_texts(candidates(grouped, key_bits, close).select("src", "dst").distinct()))
+    ends = lambda found: found.select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst"))
+    # A text's group so far is everything its link reaches; those of one group need no links among themselves.
+    reached = component_of(ends(linked)).withColumnRenamed("component", "group")
+    grouped = classes.join(reached, "node", "left").select("node", "fp", "keys", F.coalesce("group", none).alias("group"))
+    # One link is enough to join a group, so each text is compared with the closest leader of each group first.
+    nearest = candidates(grouped, key_bits, close).groupBy("src", "toward").agg(F.min_by("dst", F.struct("bits", "dst")).alias("dst"))
+    to_leaders = materialize(of_texts(nearest.select("src", "dst").distinct()))
     links = linked.unionByName(similar(to_leaders))
-    edges = lambda: links.select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst"))
+    edges = lambda: ends(links)
     # Whoever met only leaders that are no copies of it is compared with all others it meets outside its group.
     grouped = classes.join(component_of(edges()).withColumnRenamed("component", "group"), "node", "left").select(
         "node", "fp", "keys", F.coalesce("group", "node").alias("group")

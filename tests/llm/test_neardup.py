@@ -135,3 +135,29 @@ def test_texts_whose_leader_is_no_copy_are_compared_with_the_rest(spark, monkeyp
         body = [f"w{k}x{i}" for i in range(100)]
         texts += [" ".join(body), " ".join(["new", *body[1:]])]
     assert kept(spark, texts) == list(range(0, 24, 2))
+
+
+def test_links_of_a_large_group_grow_with_its_texts(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    rows = []
+    for i in range(240):
+        words = list(base)
+        for _ in range(rng.randint(1, 9) if i else 0):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    counts, real = [], neardup.component_of
+
+    def counted(edges):
+        counts.append(edges.select("src", "dst").distinct().count())
+        return real(edges)
+
+    monkeypatch.setattr(neardup, "component_of", counted)
+    marked, components = neardup.groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    sets = [set(zip(*[t.split()[k:] for k in range(5)])) for _, t in rows]
+    linked = {0}
+    while grown := {j for j in range(len(rows)) if j not in linked and any(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for i in linked)}:
+        linked |= grown
+    got = marked.join(components, "set").groupBy("component").count().orderBy("count", ascending=False).first()
+    assert got["count"] == len(linked) > 120
+    assert counts[-1] <= 3 * len(rows)
