@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from locusweave.operators import coverage, segments
+from locusweave.session import materialize
 
 LOCUS = "locus_id string, chrom string, start long, end long"
 
@@ -136,3 +137,30 @@ def test_steps_over_several_tiles_match_steps_in_one(spark, monkeypatch):
             own = [(n, s) for x, y, n, s in events if (x, y) == (a, b)]
             level = [sum(s for n, s in own if k // tile * tile <= n <= k) for k in range(12)]
             assert level == [int(a <= k < b) for k in range(12)]
+
+
+@pytest.mark.parametrize("tile", [1, 2, 3, 7, 16, 4096])
+def test_neighbours_of_bins_come_with_the_profile(spark, monkeypatch, tile):
+    """Values beside each bin, peaks and runs below a threshold are as from windows over all bins, at tile borders too."""
+    set_tile(monkeypatch, tile)
+    a, loci, _, _ = world(spark)
+    plain = materialize(coverage.coverage_fractional(a, loci, 30))
+    prof = materialize(coverage.coverage_fractional(a, loci, 30, neighbours=True))
+    bins = {(r["locus_id"], r["bin"]): r["cov"] for r in plain.collect()}
+    rows = coverage.with_borders(prof, ("locus_id",)).collect()
+    assert {(r["locus_id"], r["bin"]): r["cov"] for r in rows} == bins and len(rows) == len(bins)
+    for r in rows:
+        assert (r["prev"], r["next"]) == (bins.get((r["locus_id"], r["bin"] - 1)), bins.get((r["locus_id"], r["bin"] + 1)))
+    params = segments.fixed_valley_params(loci, 0.1, 30, 20)
+    for of in (lambda p: segments.raw_peaks(p, params), lambda p: coverage.below_threshold_runs(p, 0.5)):
+        want = sorted(map(tuple, of(plain).collect()))
+        assert want and sorted(map(tuple, of(prof).collect())) == want
+
+
+def test_only_peak_candidates_are_moved(spark):
+    a, loci, _, _ = world(spark)
+    prof = materialize(coverage.coverage_fractional(a, loci, 30, neighbours=True))
+    plan = segments.raw_peaks(prof, segments.fixed_valley_params(loci))._jdf.queryExecution().optimizedPlan().toString()
+    windows = plan.count("Window [")
+    assert windows == 1  # the rows at tile borders, as the rest have their neighbours
+    assert "explode" not in plan and "_own" not in plan
