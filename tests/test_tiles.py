@@ -164,3 +164,11 @@ def test_only_peak_candidates_are_moved(spark):
     windows = plan.count("Window [")
     assert windows == 1  # the rows at tile borders, as the rest have their neighbours
     assert "explode" not in plan and "_own" not in plan
+
+
+def test_bins_without_coverage_are_peaks_only_at_a_threshold_of_zero(spark):
+    values = [("a", b, 10 * b, float(c)) for b, c in enumerate([0, 0, 0, 4, 1, 0, 0, 2, 2])] + [("b", b, 10 * b, 0.0) for b in range(5)]
+    prof = spark.createDataFrame(values, "locus_id string, bin long, bin_start long, cov double")
+    found = lambda frac: sorted(r["bin"] for r in segments.raw_peaks(
+        prof, segments.fixed_valley_params(prof.select("locus_id").distinct(), frac, 30, 20)).collect())
+    assert found(0.0) == [0, 1, 3, 7, 8] and found(0.1) == [3, 7, 8]
