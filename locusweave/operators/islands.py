@@ -86,9 +86,10 @@ def with_island(
         *keys, F.col("start").alias("island"), F.col("end").alias("_iend"), *cols,
         F.explode(F.sequence(F.floor(F.col("start") / F.lit(bin_width)), F.floor(F.col("end") / F.lit(bin_width)))).alias("_pb"),
     )
+    # The planner takes the exploded islands for as small as the islands; a broadcast of them may not fit the driver.
     return (
         df.withColumn("_pb", F.floor(F.col(start) / F.lit(bin_width)))
-        .join(cover, [*keys, "_pb"])
+        .join(cover.hint("merge"), [*keys, "_pb"])
         .where((F.col(start) >= F.col("island")) & inside)
         .drop("_pb", "_iend")
     )

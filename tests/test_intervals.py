@@ -174,3 +174,12 @@ def test_regions_are_exploded_over_used_levels_only(spark):
         assert sorted((r.read_id, r.chrom, r.start, r.q_start) for r in got.collect()) == sorted(want)
         lost = ij.interval_join(df, region, "left_anti", bin_width=1024)
         assert lost.count() == len(items) - len({x[:3] for x in want})
+
+
+def test_exploded_islands_are_not_broadcast(spark):
+    """A few wide islands are many bins, whatever the planner takes their size for."""
+    df = spark.createDataFrame([("c", 5_000_000 * i, f"r{i}") for i in range(40)], "chrom string, start long, read_id string")
+    found = spark.createDataFrame([("c", 0, 99_999_999), ("c", 100_000_000, 180_000_000)], "chrom string, start long, end long")
+    tied = with_island(df, found)
+    assert {(r["island"], r["read_id"]) for r in tied.collect()} == {(100_000_000 * (i // 20), f"r{i}") for i in range(37)}
+    assert "Broadcast" not in tied._jdf.queryExecution().executedPlan().toString()
