@@ -9,6 +9,7 @@ from locusweave.functions.intervals import interval_gap, iou_bounding, iou_union
 from locusweave.operators.cluster import adaptive_gaps, cluster_alignments, cluster_by_distinct_reads
 from locusweave.operators.interval_join import interval_join
 from locusweave.operators.islands import island_members, islands, with_island
+from locusweave.workload.reads import reads_and_longest
 
 ALN = "rid long, read_id long, chrom string, start long, end long"
 
@@ -183,3 +184,46 @@ def test_exploded_islands_are_not_broadcast(spark):
     tied = with_island(df, found)
     assert {(r["island"], r["read_id"]) for r in tied.collect()} == {(100_000_000 * (i // 20), f"r{i}") for i in range(37)}
     assert "Broadcast" not in tied._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reads_over_genes_move_no_pairs(spark):
+    wide = [(r, c, 10 * r, 10 * r + 5000) for r in range(300) for c in ("c0", "c1")] + [(None, "c0", 0, 9000)]
+    genes = [(g, "c0", 10 * g, 10 * g + 50) for g in range(100)]
+    genes += [(7, "c1", 70, 120), (8, "c0", 80, 130), (9, "c0", 4000, 4100), (None, "c1", 0, 10)]
+    got = reads_and_longest(
+        spark.createDataFrame(wide, "read_id long, chrom string, start long, end long"),
+        spark.createDataFrame(genes, "gene_id long, chrom string, q_start long, q_end long"),
+    )
+    want = {}
+    for g, c, a, b in genes:
+        reads, longest = want.setdefault(g, (set(), []))
+        for r, chrom, s, e in wide:
+            if c == chrom and s <= b and e >= a:
+                reads |= {r} - {None}
+                longest.append(e - s)
+    assert {r["gene_id"]: (r["n_reads"], r["longest"]) for r in got.collect()} == {g: (len(r), max(n)) for g, (r, n) in want.items()}
+    # Only pairs of the genes with several regions may be told apart by read.
+    once = reads_and_longest(
+        spark.createDataFrame(wide, "read_id long, chrom string, start long, end long"),
+        spark.createDataFrame(genes[10:100], "gene_id long, chrom string, q_start long, q_end long"),
+    )
+    keys = shuffled_rows(once)
+    assert max(keys) < 5000
+
+
+def shuffled_rows(df):
+    """Rows written by each exchange of the executed plan of ``df``."""
+    df.collect()
+    plan = [df._jdf.queryExecution().executedPlan().finalPhysicalPlan()]
+    out = []
+    while plan:
+        node = plan.pop()
+        name = node.getClass().getSimpleName()
+        if name == "ShuffleQueryStageExec":
+            node = node.plan()
+            name = node.getClass().getSimpleName()
+        if name == "ShuffleExchangeExec":
+            out.append(node.metrics().apply("shuffleRecordsWritten").value())
+        kids = node.children()
+        plan += [kids.apply(i) for i in range(kids.size())]
+    return out
